@@ -4,9 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+
+def mapped(fn: Callable[..., pd.DataFrame | pd.Series], kind: str, *columns: Column) -> Column:
+    """The column that fn makes of batches of columns (pandas Series). Only these columns go to Python, so ids keep their type and nulls."""
+
+    def batches(some: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for given in some:
+            yield fn(*given)
+
+    def batches_of_one(some: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for given in some:
+            yield fn(given)
+
+    out = pd.DataFrame if kind.startswith("struct") else pd.Series
+    f = batches if len(columns) > 1 else batches_of_one
+    f.__annotations__ = {"some": Iterator[tuple[pd.Series, ...]] if len(columns) > 1 else Iterator[pd.Series], "return": Iterator[out]}
+    return pandas_udf(f, kind)(*columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

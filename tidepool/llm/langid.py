@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.base import bounded_sample, split_of
+from tidepool.llm.base import bounded_sample, mapped, split_of
 
 BUCKETS = 1 << 16
 UNKNOWN = "und"
@@ -162,13 +162,11 @@ def identify(docs: DataFrame, model: Model, id_col: Column, text_col: str = "tex
     """(doc_id, lang_pred, score) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed 2^16 weights for each label
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            said = [shared.value.predict(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [s[0] for s in said], "score": [s[1] for s in said]})
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    rows = docs.select(id_col.alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(predict, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    said = mapped(predict, "struct<lang_pred string, score double>", F.col(text_col).cast("string"))
+    return docs.select(id_col.alias("doc_id"), said.alias("said")).select("doc_id", "said.lang_pred", "said.score")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = 400) -> DataFrame:

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.base import mapped
+
 # Tag names of HTML, and names that sites give to what is not their article.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp object svg math canvas audio video select button".split())
@@ -313,12 +315,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     are taken each by itself; null ids and urls are kept. An empty table gives no rows; extra columns are ignored.
     """
     model = learn(pages, id_col, html_col, pages_at_most)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [model.text(page) for page in batch.pop("html")]
-            yield batch.assign(text=texts, n_chars=[len(t) for t in texts])
+    def extract(batch: pd.Series) -> pd.Series:
+        return pd.Series([model.text(page) for page in batch], dtype=object)
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInPandas(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    text = mapped(extract, "string", F.col(html_col).cast("string"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text.alias("text"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.base import saved
+from tidepool.llm.base import mapped, saved
 
 SIZE = 1024
 END = 0
@@ -62,18 +61,17 @@ def token_ids(text: str | None, tokenizer: str, ranks: str | None = None) -> np.
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): whole pieces of `size` tokens and the remainder of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, text in enumerate(batch["text"]):
-                ids = token_ids(text, tokenizer, ranks)
-                out += [(k, at, len(part := ids[at : at + size]), zlib.crc32(part.tobytes()), len(ids)) for at in range(0, len(ids), size)]
-            k, start, length, crc, total = (np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[k].to_numpy(), "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total})
+    def cut(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            ids = token_ids(text, tokenizer, ranks)
+            out.append([(at, len(part := ids[at : at + size]), zlib.crc32(part.tobytes()), len(ids)) for at in range(0, len(ids), size)])
+        return pd.Series([[dict(zip(("start", "length", "ids_crc32", "doc_tokens"), x)) for x in own] for own in out], dtype=object)
 
-    return rows.mapInPandas(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    kind = "array<struct<start long, length long, ids_crc32 long, doc_tokens long>>"
+    rows = docs.select(F.col(id_col).alias("doc_id"), mapped(cut, kind, F.col(text_col).cast("string")).alias("own"))
+    return rows.select("doc_id", F.explode("own").alias("own")).select("doc_id", "own.*")
 
 
 def padded(fill: int, size: int) -> int:
@@ -250,10 +248,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int =
     ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(counts, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("base")).alias("rank"))
 
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sequence, offset = deal.value(batch["length"].to_numpy(np.int64), batch.pop("rank").to_numpy(np.int64))
-            yield batch.assign(sequence_id=sequence, offset=offset)
+    def dealt(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("sequence_id", "offset"), deal.value(length.to_numpy(np.int64), rank.to_numpy(np.int64)))))
 
-    kind = cut.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInPandas(dealt, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    place = mapped(dealt, "struct<sequence_id long, offset long>", F.col("length"), F.col("rank"))
+    return ranked.withColumn("place", place).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "place.sequence_id", "place.offset")

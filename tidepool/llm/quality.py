@@ -10,17 +10,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
-from tidepool.llm.base import bounded_sample, saved, split_of
+from tidepool.llm.base import bounded_sample, mapped, saved, split_of
 
 CUT = 0.7
 _SYMBOL, _UPPER, _DIGIT, _LETTER, _SPACE = range(5)
@@ -121,10 +118,8 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, rounds: int = 400, l2
     return model
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        x = np.array([features(t) for t in batch.pop("text")], np.float64).reshape(-1, N_FEATURES)
-        yield batch.assign(x=list(x))
+def _measure(texts: pd.Series) -> pd.Series:
+    return pd.Series([features(t) for t in texts])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 4000) -> Ranker:
@@ -132,8 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").distinct()
     known = saved(bounded_sample(known.where(split_of(F.col("id"), 4) != 2), F.col("id"), "y", per_label, "id"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    sample = rows.join(F.broadcast(known), "id").mapInPandas(_measure, f"id {kind}, y int, x array<double>")  # some 2 x per_label ids
+    sample = rows.join(F.broadcast(known), "id").select("id", "y", mapped(_measure, "array<double>", F.col("text")).alias("x"))  # some 2 x per_label ids
     sample = sorted(sample.collect(), key=lambda r: (r["id"], r["y"], r["x"]))
     x = np.array([r["x"] for r in sample], np.float64).reshape(-1, N_FEATURES)
     return fit(x, np.array([r["y"] for r in sample], np.int64))
@@ -142,12 +136,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_of(text: Column, model: Ranker) -> Column:
     """The score of a text column, from 0 to 1."""
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(model.score(np.array([features(t) for t in texts], np.float64).reshape(-1, N_FEATURES)))
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([features(t) for t in texts], np.float64).reshape(-1, N_FEATURES)))
 
-    score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return pandas_udf(score, DoubleType())(text.cast("string"))
+    return mapped(score, "double", text.cast("string"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 4000) -> DataFrame:

@@ -17,10 +17,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
-from tidepool.llm.base import saved
+from tidepool.llm.base import mapped, saved
 from tidepool.llm.components import connected_components
 
 SEED = 42
@@ -45,15 +43,13 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@pandas_udf(LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for some in texts:
-        yield pd.Series(np.array([fingerprint_of(t) for t in some], np.uint64).view(np.int64))
+def _fingerprints(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint of every row as a signed long. Other columns are dropped; null texts count as empty."""
-    return docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col).cast("string")).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), mapped(_fingerprints, "long", F.col(text_col).cast("string")).alias("fp"))
 
 
 def compare_blocks(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
