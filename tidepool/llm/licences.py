@@ -45,9 +45,9 @@ def _templates(spark: SparkSession, base: dict[str, str], templates: dict[str, s
     for k, (phrase, label, is_base) in enumerate([*((p, x, True) for p, x in base.items()), *((p, x, False) for p, x in templates.items())]):
         w = phrase.split()
         rows += [(a, b, k, j, len(w) - 1, label, is_base) for j, (a, b) in enumerate(zip(w, w[1:]))]
-    made = spark.createDataFrame(rows, "a string, b string, template int, place int, pairs int, label string, base boolean")
-    made = made.select(F.xxhash64("a", "b").alias("h"), "template", "place", "pairs", "label", "base")
-    return made.unionByName(spark.createDataFrame([(_END, -1, 0, 0, "", False)], made.schema))
+    said = ", ".join(f"('{a}', '{b}', {k}, {j}, {n}, '{label}', {str(is_base).lower()})" for a, b, k, j, n, label, is_base in rows)
+    made = spark.sql(f"select xxhash64(a, b) as h, template, place, pairs, label, base from values {said} as v(a, b, template, place, pairs, label, base)")
+    return made.unionByName(spark.sql(f"select {_END}L as h, -1 as template, 0 as place, 0 as pairs, '' as label, false as base"))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, verified: float = 0.8, drift: int = 2) -> DataFrame:
@@ -66,13 +66,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count = F.array(F.struct(F.lit(_END).cast("long").alias("h"), F.size("w").alias("at")))
     hits = rows.select("doc_id", "t", F.explode(F.concat(count, pairs)).alias("g")).select("doc_id", "t", "g.h", "g.at")
     hits = hits.join(F.broadcast(_templates(spark, base, templates)), "h")  # the templates given, whatever the corpus
+    hits = hits.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("at") - F.col("place")).otherwise(F.col("at")))
     # one exchange serves all that follows: every grouping and window below is within (doc_id, t)
-    hits = hits.select("doc_id", "t", "template", "at", "place", "pairs", "label", "base").repartition("doc_id", "t")
-    hits = hits.groupBy("doc_id", "t", "template", "at", "place", "pairs", "label", "base").agg(F.count("*").alias("rows"))
-    lines = hits.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("at") - F.col("place")).otherwise(F.col("at")))
-    lines = lines.groupBy("doc_id", "t", "template", "pairs", "label", "base", "diagonal").agg(
-        F.count("*").alias("votes"), F.collect_set("place").alias("places"), F.max("rows").alias("rows")
-    )
+    hits = hits.select("doc_id", "t", "template", "place", "pairs", "label", "base", "diagonal").repartition("doc_id", "t")
+    lines = hits.groupBy("doc_id", "t", "template", "pairs", "label", "base", "diagonal").agg(
+        F.count("*").alias("rows"), F.collect_set("place").alias("places")  # rows: for the counting row, how many documents are alike
+    ).withColumn("votes", F.size("places"))
     near = Window.partitionBy("doc_id", "t", "template").orderBy("diagonal")
     lines = lines.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > drift).cast("int"))
     lines = lines.withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(near))
