@@ -34,8 +34,12 @@ _END = -0x7E57_AB1E  # the mark of the row that counts a document's words
 
 
 def words(text: Column) -> Column:
-    """The words of a text: runs of a-z, 0-9 and all beyond ASCII, after A-Z are lower-cased."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """The words of a text: runs of a-z, 0-9 and all beyond ASCII, after A-Z are lower-cased.
+
+    lower() also folds letters beyond ASCII. That neither joins nor parts words, as no such letter becomes a separator, and
+    the only one to become a letter of ASCII, the Kelvin sign, becomes a k, which no base phrase has.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
     return F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
 
 
