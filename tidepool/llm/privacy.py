@@ -25,7 +25,7 @@ KINDS = ("email", "ip", "card", "phone")
 LEARNED = ("generalise", "remove")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 #: Slots of the filter of candidate terms that every counting task gets.
-SLOTS = 1 << 16
+SLOTS = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -95,10 +95,12 @@ def context(text: str, spans: list[tuple[str, int, int]], words: int, reach: int
 
 def _counted(texts: DataFrame, wanted: DataFrame, flush: int = 200_000) -> DataFrame:
     """(term, n): in how many rows of texts(text) each of wanted(term) occurs. The filter has a fixed size; the join is exact."""
-    slots = np.zeros(SLOTS, bool)
-    for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("s")).distinct().collect():  # SLOTS numbers at most
-        slots[r["s"]] = True
-    shared = texts.sparkSession.sparkContext.broadcast(slots)
+    slot = wanted.select(F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("s"))
+    bits = slot.groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits"))
+    filled = np.zeros(SLOTS // 32, np.uint32)
+    for r in bits.collect():  # SLOTS / 32 rows at most
+        filled[r["word"]] = r["bits"]
+    shared = texts.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
