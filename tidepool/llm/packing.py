@@ -63,15 +63,17 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, size: int = SIZE,
     """(doc_id, start, length, ids_crc32, doc_tokens): whole pieces of `size` tokens and the remainder of every row."""
 
     def cut(texts: pd.Series) -> pd.Series:
+        """For each text, its number of tokens, then the checksum of each piece."""
         out = []
         for text in texts:
             ids = token_ids(text, tokenizer, ranks)
-            out.append([(at, len(part := ids[at : at + size]), zlib.crc32(part.tobytes()), len(ids)) for at in range(0, len(ids), size)])
-        return pd.Series([[dict(zip(("start", "length", "ids_crc32", "doc_tokens"), x)) for x in own] for own in out], dtype=object)
+            out.append(np.array([len(ids), *(zlib.crc32(ids[at : at + size].data) for at in range(0, len(ids), size))], np.int64))
+        return pd.Series(out, dtype=object)
 
-    kind = "array<struct<start long, length long, ids_crc32 long, doc_tokens long>>"
-    rows = docs.select(F.col(id_col).alias("doc_id"), mapped(cut, kind, F.col(text_col).cast("string")).alias("own"))
-    return rows.select("doc_id", F.explode("own").alias("own")).select("doc_id", "own.*")
+    rows = docs.select(F.col(id_col).alias("doc_id"), mapped(cut, "array<long>", F.col(text_col).cast("string")).alias("own"))
+    rows = rows.select("doc_id", F.col("own")[0].alias("doc_tokens"), F.posexplode(F.slice("own", 2, F.size("own"))).alias("k", "ids_crc32"))
+    start = F.col("k").cast("long") * size
+    return rows.select("doc_id", start.alias("start"), F.least(F.lit(size).cast("long"), F.col("doc_tokens") - start).alias("length"), "ids_crc32", "doc_tokens")
 
 
 def padded(fill: int, size: int) -> int:
