@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_KEY = Window.partitionBy("ns", "key").orderBy("seq")
-
 
 def writes(ops: DataFrame) -> DataFrame:
     return ops.where(F.col("op").isin("put", "delete"))
@@ -25,7 +23,7 @@ def current(ops: DataFrame) -> DataFrame:
 
 def transitions(ops: DataFrame) -> DataFrame:
     """Each write with the hash that its key held before (null: none)."""
-    before = F.lag(F.struct("op", "hash")).over(_KEY)
+    before = F.lag(F.struct("op", "hash")).over(Window.partitionBy("ns", "key").orderBy("seq"))
     return writes(ops).withColumn("b", before).withColumn("released", F.when(F.col("b.op") == "put", F.col("b.hash"))).drop("b")
 
 
