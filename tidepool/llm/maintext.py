@@ -302,7 +302,7 @@ def learn(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", pag
                 step = max(1, len(own) // 50)  # a long page gives 50 to 100 of its blocks to the sample
                 x += [features(b) for b in own[::step]]
                 y += [int(b.stands == 1 and not b.named) for b in own[::step]]
-            yield pd.DataFrame({"x": x, "y": y})
+            yield pd.DataFrame({"x": pd.Series(x, dtype=object), "y": pd.Series(y, dtype="int32")})
 
     got = sorted((list(r["x"]), r["y"]) for r in sample.mapInPandas(measured, "x array<double>, y int").collect())
     return Extractor(fit(np.array([x for x, _ in got]).reshape(-1, N_FEATURES), np.array([y for _, y in got])))

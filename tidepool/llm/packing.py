@@ -230,7 +230,7 @@ class Deal:
         return sequence, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", rank_rows: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", rank_rows: int = 1000) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece of every row of docs and its place.
 
     A row's ids are those of its text (null: empty), then END; each lies in exactly one piece. Sequences hold at
@@ -241,8 +241,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int =
     demand = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
     deal = docs.sparkSession.sparkContext.broadcast(Deal(plan(demand, size)))
     # ranks within a length: a frequent length is split into salts of about rank_rows, whose counts give each its first rank
-    salts = max(1, max(demand.values(), default=0) // rank_rows)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    by_length = F.split(F.lit(",".join(str(demand.get(x, 0) // rank_rows + 1) for x in range(size + 1))), ",").cast("array<bigint>")
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(by_length, F.col("length").cast("int"))))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

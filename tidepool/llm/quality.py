@@ -119,7 +119,7 @@ def fit(x: np.ndarray, y: np.ndarray, pairs: int = 40_000, rounds: int = 400, l2
 
 
 def _measure(texts: pd.Series) -> pd.Series:
-    return pd.Series([features(t) for t in texts])
+    return pd.Series([features(t) for t in texts], dtype=object)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = 4000) -> Ranker:

@@ -137,7 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = roots.withColumnRenamed("node", "fp").join(low, "fp")
     least = named.groupBy("root").agg(F.min("low").alias("least"))
     linked = named.select("fp", "root").join(least, "root").select("fp", "least")
-    name = low.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    # written first: then both sides of the last join are exchanged for it, and Spark can split a fingerprint that many rows share
+    name = saved(low.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")))
     return prints.join(name, "fp").select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
