@@ -669,6 +669,86 @@ def tree_guides(spark, sf_dir):
     return tree.guides(tree.positions(_nodes(spark, sf_dir), "en/"))
 
 
+@query("tr", "select parent_id as id, list(id order by idx) as children from tr where parent_id is not null group by 1")
+def tree_nested(spark, sf_dir):
+    return tree.nested(_nodes(spark, sf_dir))
+
+
+@query("ids", "select id, true as has from ids where is_group")
+def tree_has_children(spark, sf_dir):
+    return tree.has_children(_nodes(spark, sf_dir), _inline(spark, "id", [("en/",), ("fr/",)]))
+
+
+@query("tr", """select id, parent_id, depth, is_group, idx from tr union all
+  select 'en/' || v.n, 'en/', 1, v.n = 'zz/', cast(v.k + (select count(*) from tr where parent_id = 'en/') as int) from (values ('new', 0), ('zz/', 1)) v(n, k)""")
+def tree_with_children(spark, sf_dir):
+    new = _inline(spark, "id, is_group", [("en/new", False), ("en/zz/", True)])
+    return tree.with_children(_nodes(spark, sf_dir), "en/", new)
+
+
+# -- requests and bodies
+
+
+_AUTH = [("AWS4-HMAC-SHA256 Credential=AK/20240101/eu/s3/aws4_request, SignedHeaders=host;x-amz-date, Signature=abc", "AK", "eu", "host:h v\nx-amz-date:d\n"), ("Basic xyz", None, None, None),
+         ("AWS4-HMAC-SHA256 Credential=AK/20240101/eu/s3, SignedHeaders=host, Signature=abc", None, None, None), ("AWS4-HMAC-SHA256 Credential=A/1/r/s/t,SignedHeaders=host;nope,Signature=f", "A", "r", None)]
+
+
+@query("", f"select header, key_id, region, lines from {_values('header, key_id, region, lines', _AUTH)}")
+def auth_header_parse(spark, sf_dir):
+    given = spark.range(1).select(F.explode(F.array(*[F.lit(a[0]) for a in _AUTH])).alias("header"))
+    sent = F.create_map(F.lit("host"), F.lit("  h   v "), F.lit("x-amz-date"), F.lit("d"))
+    parsed = given.select("header", scalars.auth_header(F.col("header")).alias("a"))
+    return parsed.select("header", "a.key_id", "a.region", scalars.canonical_headers(sent, F.col("a.signed")).alias("lines"))
+
+
+_SOURCES = [("/ns/a%20b/c", "ns", "a b/c"), ("ns/k+1", "ns", "k+1"), ("nokey", None, None), ("ns/%C3%A9", "ns", "é")]
+
+
+@query("", f"select header, ns, key from {_values('header, ns, key', _SOURCES)}")
+def copy_source(spark, sf_dir):
+    return _inline(spark, "header", [(x[0],) for x in _SOURCES]).select("header", scalars.copy_source(F.col("header")).alias("c")).select("header", "c.*")
+
+
+_STRINGS = [("a=1&b=2&a=3", "3"), ("a=x%20y&c", "x y"), ("", None), ("b=1", None), ("a", "")]
+
+
+@query("", f"select raw, a from {_values('raw, a', _STRINGS)}")
+def query_strings(spark, sf_dir):
+    return _inline(spark, "raw", [(x[0],) for x in _STRINGS]).select("raw", F.try_element_at(scalars.query_pairs(F.col("raw")), F.lit("a")).alias("a"))
+
+
+@query("", "select ['email', 'profile'] as by_default, ['a'] as asked")
+def scope_list(spark, sf_dir):
+    none = F.lit(None).cast("array<string>")
+    return spark.range(1).select(scalars.scopes(none).alias("by_default"), scalars.scopes(F.array(F.lit("openid"), F.lit("a"))).alias("asked"))
+
+
+@query("", "select page_id, strlen(html) <= 4096 as fits, left(html, 100) as shown, length(html) > 100 as truncated from pages")
+def body_limits(spark, sf_dir):
+    p = tables.load(spark, sf_dir, "pages")
+    return p.select("page_id", scalars.within_cap(F.col("html"), 4096).alias("fits"), scalars.preview_window(F.col("html"), 100).alias("v")).select("page_id", "fits", "v.*")
+
+
+@query("obj", """select '{"key":"' || key || '","etag":"' || hash || '","size":' || size || '}' as json from obj where ns = 'ns-src3'""")
+def listing_json(spark, sf_dir):
+    o = tables.objects(spark, sf_dir).where("ns = 'ns-src3'")
+    return o.select(F.to_json(F.struct("key", F.col("hash").alias("etag"), "size")).alias("json"))
+
+
+@query("obj", "select key, size from obj where ns = 'ns-src3'")
+def listing_xml_round_trip(spark, sf_dir):
+    o = tables.objects(spark, sf_dir).where("ns = 'ns-src3'")
+    xml = F.to_xml(F.struct(F.col("key").alias("Key"), F.col("size").alias("Size")), {"rowTag": "Contents"})
+    return o.select(F.from_xml(xml, "Key string, Size long").alias("x")).select(F.col("x.Key").alias("key"), F.col("x.Size").alias("size"))
+
+
+@query("", "select user_id, count(*) as live from events where ts + interval 24 hour > (select max(ts) from events) group by 1")
+def live_sessions(spark, sf_dir):
+    e = tables.load(spark, sf_dir, "events")
+    as_of = F.lit(e.agg(F.max("ts")).first()[0])
+    return e.where(F.col("ts") > as_of - F.expr("interval 24 hours")).groupBy("user_id").agg(F.count("*").alias("live"))
+
+
 # -- streams
 
 
@@ -683,3 +763,11 @@ def stream_put_counts(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     closed = flows.drained(flows.sessions(flows.log_stream(spark, sf_dir)), "append")
     return closed.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+@query("", """select upload_id, min(ts) as started, max(ts) as last_seen, count(*) as n from (select *, sum(new) over (partition by upload_id order by ts, event_id) as s
+  from (select *, user_id % 20 as upload_id, case when ts - lag(ts) over (partition by user_id % 20 order by ts, event_id) < interval 24 hour then 0 else 1 end as new from events)) group by upload_id, s
+  having max(ts) + interval 24 hour <= (select max(ts) from events) - interval 10 minute""")
+def stream_idle_uploads(spark, sf_dir):
+    closed = flows.drained(flows.idle_uploads(flows.log_stream(spark, sf_dir)), "append")
+    return closed.select("upload_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n")

@@ -164,3 +164,50 @@ def preview_kind(kind: Column, key: Column) -> Column:
     real = F.when(kind.isNull() | kind.isin(GENERIC, "binary/octet-stream"), content_type(F.lit(None).cast("string"), key)).otherwise(kind)
     out = F.when(real.startswith("image/"), "image").when(real.startswith("video/"), "video").when(real.startswith("audio/"), "audio").when(real == "application/pdf", "pdf")
     return out.when(real.startswith("text/") | real.isin("application/json", "application/xml"), "text").otherwise("none")
+
+
+def auth_header(header: Column) -> Column:
+    """struct of a signed Authorization header's parts; null unless the scheme, all three pairs and a five-part scope are there."""
+    body = F.regexp_extract(header, r"^AWS4-HMAC-SHA256\s+(.*)$", 1)
+    part = lambda name: F.regexp_extract(body, rf"(?:^|,)\s*{name}=([^,]*)", 1)
+    scope = F.split(part("Credential"), "/")
+    fields = F.struct(
+        scope[0].alias("key_id"), scope[1].alias("day"), scope[2].alias("region"), scope[3].alias("service"), F.split(part("SignedHeaders"), ";").alias("signed"), part("Signature").alias("signature")
+    )
+    return F.when((F.size(scope) == 5) & (part("SignedHeaders") != "") & (part("Signature") != ""), fields)
+
+
+def canonical_headers(headers: Column, signed: Column) -> Column:
+    """Lines of the signed headers from a map; null if one is missing."""
+    lines = F.transform(signed, lambda h: F.concat(h, F.lit(":"), collapse_spaces(F.try_element_at(headers, h)), F.lit("\n")))
+    return F.when(~F.exists(lines, lambda x: x.isNull()), F.array_join(lines, ""))
+
+
+def copy_source(header: Column) -> Column:
+    """struct(ns, key) of a percent-encoded source; a plus stays a plus."""
+    plain = F.regexp_replace(F.try_url_decode(F.replace(header, F.lit("+"), F.lit("%2B"))), "^/", "")
+    at = F.instr(plain, "/")
+    return F.when(at > 1, F.struct(F.left(plain, at - 1).alias("ns"), F.substr(plain, at + 1).alias("key")))
+
+
+def scopes(asked: Column) -> Column:
+    """The scopes asked for, or three defaults, without openid."""
+    given = F.when(asked.isNull() | (F.size(asked) == 0), F.array(F.lit("openid"), F.lit("email"), F.lit("profile"))).otherwise(asked)
+    return F.array_remove(given, "openid")
+
+
+def within_cap(body: Column, cap: int = 8 * MIB) -> Column:
+    return F.octet_length(body) <= cap
+
+
+def preview_window(content: Column, cap: int = 512 * 1024) -> Column:
+    """struct(shown, truncated): the first bytes of a text for a preview."""
+    return F.struct(F.left(content, F.lit(cap)).alias("shown"), (F.length(content) > cap).alias("truncated"))
+
+
+def query_pairs(raw: Column) -> Column:
+    """Map of a query string; of a repeated name the last value counts."""
+    pairs = F.filter(F.split(raw, "&"), lambda x: x != "")
+    entry = F.transform(pairs, lambda x: F.struct(F.try_url_decode(F.substring_index(x, "=", 1)).alias("k"), F.when(F.contains(x, F.lit("=")), F.try_url_decode(F.substr(x, F.instr(x, "=") + 1))).otherwise("").alias("v")))
+    names = F.array_distinct(F.transform(entry, lambda e: e["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entry, lambda e: e["k"] == n), -1)["v"]))

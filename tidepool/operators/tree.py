@@ -99,3 +99,26 @@ def guides(placed: DataFrame) -> DataFrame:
     root = placed.where("depth = 0").select(F.col("pos").alias("r"))
     bound = placed.join(root, F.col("r") > F.col("pos"), "left").groupBy("id", "pos", "depth").agg(F.coalesce(F.min("r"), F.lit(1 << 30)).alias("stop"))
     return bound.join(later, (F.col("p2") > F.col("pos")) & (F.col("p2") < F.col("stop")) & (F.col("d2") < F.col("depth"))).select("id", F.col("d2").alias("guide")).distinct()
+
+
+def nested(nodes: DataFrame) -> DataFrame:
+    """(id, children): every group with its direct children in order. Deeper levels join on id; depth is bounded by the keys'."""
+    kids = nodes.where("parent_id is not null").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("idx", "id"))).alias("c"))
+    return kids.select(F.col("parent_id").alias("id"), F.transform("c", lambda x: x["id"]).alias("children"))
+
+
+def has_children(nodes: DataFrame, loaded: DataFrame) -> DataFrame:
+    """(id, has): groups have children until they are loaded(id) and found empty."""
+    parents = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("parent", F.lit(True))
+    done = loaded.select("id").distinct().withColumn("loaded", F.lit(True))
+    found = nodes.where("is_group").join(parents, "id", "left").join(done, "id", "left")
+    return found.select("id", (F.col("loaded").isNull() | F.col("parent").isNotNull()).alias("has"))
+
+
+def with_children(nodes: DataFrame, parent: str, children: DataFrame) -> DataFrame:
+    """nodes and lazily loaded children(id, is_group) after those that the parent has already; ids that are there are left alone."""
+    under = nodes.where(F.col("id") == parent).select((F.col("depth") + 1).alias("depth"))
+    n = nodes.where(F.col("parent_id") == parent).agg(F.count("*").alias("n"))
+    new = children.join(nodes.select("id"), "id", "left_anti").join(F.broadcast(under)).join(F.broadcast(n))  # a row each
+    place = F.row_number().over(Window.partitionBy("n").orderBy("id")) - 1 + F.col("n")  # the children of one folder
+    return nodes.unionByName(new.select("id", F.lit(parent).alias("parent_id"), F.col("depth").cast("int").alias("depth"), "is_group", place.cast("int").alias("idx")))

@@ -41,3 +41,25 @@ def sessions(events: DataFrame, gap: str = "12 hours", late: str = "10 minutes")
 def ingest(stream: DataFrame, commit: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds"):
     """Starts a query that commits each micro-batch once; commit(batch, number) must be idempotent by number."""
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def idle_uploads(events: DataFrame, expiry: str = "24 hours", late: str = "10 minutes") -> DataFrame:
+    """(upload_id, started, last_seen, n): uploads whose activity ended for `expiry`; a user's events stand for an upload's parts."""
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        timed = timed.withWatermark("ts", late)
+    s = timed.groupBy(F.session_window("ts", expiry).alias("s"), (F.col("user_id") % 20).alias("upload_id")).agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
+    return s.select("upload_id", F.col("s.start").alias("started"), "last_seen", "n")
+
+
+def sweep_every(spark: SparkSession, tick: Callable[[int], None], checkpoint: str, seconds: int = 60):
+    """Starts a query that calls tick(number) at most every max(seconds, 5); a failing tick is logged and the loop goes on."""
+
+    def safe(_: DataFrame, number: int) -> None:
+        try:
+            tick(number)
+        except Exception as e:
+            print(f"sweep {number} failed: {e}")
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(safe).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(seconds, 5)} seconds").start()
