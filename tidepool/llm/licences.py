@@ -1,6 +1,7 @@
 """License scan by diagonal voting, in DataFrame operations alone.
 
-Every pair of neighbouring words of a document is hashed and joined to the places of such pairs in the templates. A
+Every pair of neighbouring words of a document is hashed and joined to the places of such pairs in the templates (a
+bitmap of the templates' hashes spares pairs that cannot join from becoming rows). A
 template laid over a document gives hits on one diagonal (place in the document less place in the template); votes are
 counted by diagonal, neighbouring diagonals (a word more or less) are merged, and a span is verified by the share of the
 template's pairs that it holds. A base phrase stands where its diagonal has all of its pairs.
@@ -8,6 +9,8 @@ template's pairs that it holds. A base phrase stands where its diagonal has all
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +57,15 @@ def _templates(spark: SparkSession, base: dict[str, str], templates: dict[str, s
     return made.unionByName(spark.sql(f"select {_END}L as h, -1 as template, 0 as place, 0 as pairs, '' as label, false as base"))
 
 
+def _may_join(hashes: list[int], slots: int = 1 << 16) -> Callable[[Column], Column]:
+    """A test that no pair of the join below fails, before the pairs become rows: a bitmap of the templates' hashes."""
+    bits = [0] * (slots // 32)
+    for h in hashes:
+        bits[(h % slots) // 32] |= 1 << h % 32
+    held = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    return lambda pair: F.get(held, F.shiftright(F.pmod(pair["h"], F.lit(slots)), 5).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(pair["h"], F.lit(32)).cast("int"))) != 0
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES, verified: float = 0.8, drift: int = 2) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
 
@@ -67,9 +79,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w"))
     pairs = F.transform("w", lambda w, i: F.struct(F.xxhash64(w, F.get(F.col("w"), i + 1)).alias("h"), i.alias("at")))
+    known = _templates(spark, base, templates)
+    pairs = F.filter(pairs, _may_join([r["h"] for r in known.select("h").distinct().collect()]))  # a row for each pair of the templates
     count = F.array(F.struct(F.lit(_END).cast("long").alias("h"), F.size("w").alias("at")))
     hits = rows.select("doc_id", "t", F.explode(F.concat(count, pairs)).alias("g")).select("doc_id", "t", "g.h", "g.at")
-    hits = hits.join(F.broadcast(_templates(spark, base, templates)), "h")  # the templates given, whatever the corpus
+    hits = hits.join(F.broadcast(known), "h")  # the templates given, whatever the corpus
     hits = hits.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("at") - F.col("place")).otherwise(F.col("at")))
     # one exchange serves all that follows: every grouping and window below is within (doc_id, t)
     hits = hits.select("doc_id", "t", "template", "place", "pairs", "label", "base", "diagonal").repartition("doc_id", "t")
