@@ -164,6 +164,7 @@ def test_main_text_leaves_out_what_is_not_the_article():
     &lt;three&gt;.<p>Second.<aside>Aside</aside><form>Name <input></form><div class="comments"><p>Nice post, I agree.</p></div></article></main>
     <div class="sidebar">Links</div><script>if (a < b) { x("</p>") }</script><style>p{}</style><footer>Imprint</footer>"""
     assert maintext.Extractor().text(page) == "Title & more\n\nOne two <three>.\n\nSecond."
+    assert maintext.Extractor().text('<article><p>Kept.</p></article><div class="shareButtons">Share</div><div id="sideBar">Side</div><div id="relatedPosts">More</div>') == "Kept."
     assert maintext.Extractor().text("<!-- open") == "" and [b.text for b in maintext.blocks_of("a < b")] == ["a < b"]
 
 

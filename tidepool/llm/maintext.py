@@ -36,7 +36,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 _TAG = re.compile(r"<!--(?:-?>)?|<([!?])|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=\s|/|$)""", re.I)
-_NAME = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_NAME = re.compile(r"[^a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 @dataclass(slots=True)
@@ -66,7 +67,7 @@ def _opened(tag: str, attributes: str, number: int, above: _Open) -> _Open:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
             if name in ("class", "id"):
-                words = {w for w in _NAME.split(value.lower()) if w}
+                words = {w for v in (value, _HUMP.sub("-", value)) for w in _NAME.split(v.lower()) if w}  # sideBar is sidebar, side and bar
                 named = named or bool(words & NAMES) or (stands != 1 and tag not in ("body", "html") and bool(words & OUTER_NAMES))
             elif name == "role":
                 named = named or value.lower() in ROLES
