@@ -276,6 +276,25 @@ def delete_namespace_outcomes(spark, sf_dir):
     return tenancy.delete_namespace_outcomes(_inline(spark, "name", _GONE), tables.namespaces(spark, sf_dir), tables.nation_objects(spark, sf_dir).where("key < '3'"))
 
 
+@query("nss nobj", "select count(*) filter (id not in (select namespace_id from nobj where key < '3')) as deleted, count(*) filter (id in (select namespace_id from nobj where key < '3')) + 1 as failed from nss")
+def delete_outcome_counts(spark, sf_dir):
+    spaces = tables.namespaces(spark, sf_dir)
+    asked = spaces.select("name").unionByName(_inline(spark, "name", [("nowhere",)]))
+    return state.outcome_counts(tenancy.delete_namespace_outcomes(asked, spaces, tables.nation_objects(spark, sf_dir).where("key < '3'")))
+
+
+_FOUND = [(1, "fresh", "ann@corp.io"), (2, "ASIA", "bob@corp.io"), (3, "fresh", "cy@corp.io"), (4, "other", "cy@corp.io")]
+
+
+@query("ten mem", f"""select t.id, t.name, m.owners, m.members from (select id, name from ten union all select (select max(id) from ten) + row_number() over (order by seq), name from (select name, min(seq) as seq from {_values('seq, name, email', _FOUND)}
+  where name not in (select name from ten) group by name)) t left join (select tenant_id, count(*) filter (role = 'owner') as owners, count(*) as members from (select tenant_id, role from mem union all
+  select (select max(id) from ten) + row_number() over (order by seq), 'owner' from (select name, min(seq) as seq from {_values('seq, name, email', _FOUND)} where name not in (select name from ten) group by name)) group by 1) m on t.id = m.tenant_id""")
+def create_tenants(spark, sf_dir):
+    t, m = tenancy.create_tenants(_inline(spark, "seq, name, email", _FOUND), tables.tenants(spark, sf_dir), tables.members(spark, sf_dir))
+    held = m.groupBy(F.col("tenant_id").alias("id")).agg(F.count_if(F.col("role") == "owner").alias("owners"), F.count("*").alias("members"))
+    return t.join(held, "id", "left").select("id", "name", "owners", "members")
+
+
 _OUT = [("REGION_0",), ("AFRICA",), ("ASIA",), ("ATLANTIS",)]
 
 
@@ -426,6 +445,12 @@ def part_replacements(spark, sf_dir):
     return multipart.replaced(_part_writes(spark, sf_dir))
 
 
+@query("", f"select upload_id, max_by(staging_key, seq) as staging_key from ({_PW}) where upload_id in (3, 5) group by upload_id, part_number")
+def upload_removed(spark, sf_dir):
+    gone = _inline(spark, "id", [(3,), (5,), (99999,)])
+    return multipart.removed(tables.uploads(spark, sf_dir), multipart.latest_parts(_part_writes(spark, sf_dir)), gone)[1]
+
+
 @query("ups", "select id, key from ups where starts_with(key, 'up/3/') order by key, id limit 1000")
 def uploads_by_prefix(spark, sf_dir):
     return multipart.uploads_under(tables.uploads(spark, sf_dir), "up/3/")
@@ -482,6 +507,18 @@ def range_parse(spark, sf_dir):
     return given.select("header", scalars.byte_range(F.col("header"), F.lit(10).cast("long")).alias("r")).select("header", "r.*")
 
 
+@query("", "select doc_id, sha256(case when strlen(text) > 5 then encode(text)[6:25] end) as head, sha256(case when strlen(text) > 0 then encode(text)[greatest(strlen(text) - 19, 1):strlen(text)] end) as tail, sha256(encode(text)) as whole from documents")
+def object_range_read(spark, sf_dir):
+    content = F.col("text").cast("binary")
+    parts = {"head": "bytes=5-24", "tail": "bytes=-20", "whole": None}
+    return tables.load(spark, sf_dir, "documents").select("doc_id", *[F.sha2(scalars.ranged(content, F.lit(h).cast("string")), 256).alias(k) for k, h in parts.items()])
+
+
+@query("", "select n, delay_ms from (values (0, cast(250 as bigint)), (1, 500), (2, null)) v(n, delay_ms)")
+def retry_delays(spark, sf_dir):
+    return _inline(spark, "n", [(0,), (1,), (2,)]).select("n", scalars.retry_delay(F.col("n")).alias("delay_ms"))
+
+
 @query("", f"select header, cast(case status when 'ok' then 206 when 'none' then 200 else 416 end as int) as code, cast(case status when 'ok' then last - first + 1 when 'none' then 10 else 0 end as bigint) as length from {_values('header, first, last, status', _RANGES)}")
 def range_response(spark, sf_dir):
     given = _inline(spark, "header", [(r[0],) for r in _RANGES])
@@ -639,6 +676,39 @@ def tree_remove(spark, sf_dir):
     return tree.removed(_nodes(spark, sf_dir), ["en/1/"]).select("id", "parent_id", "idx")
 
 
+_PUT = [("en/a-new/", 0), ("en/b-new/", 1)]
+
+
+@query("tr", f"""select id, parent_id, cast(row_number() over (partition by parent_id order by idx, old, place) - 1 as int) as idx from (select id, parent_id, idx, 1 as old, 0 as place from tr
+  union all select v.id, tr.parent_id, tr.idx, 0, v.place from {_values('id, place', _PUT)} join tr on tr.id = 'en/1/')""")
+def tree_insert(spark, sf_dir):
+    return tree.inserted(_nodes(spark, sf_dir), _inline(spark, "id, place", _PUT), "en/1/")
+
+
+@query("ids", "select id from ids where is_group and not starts_with(id, 'en/') and id <> 'fr/2/'")
+def tree_collapse(spark, sf_dir):
+    return tree.collapsed(_nodes(spark, sf_dir).where("is_group").select("id"), ["en/", "fr/2/"])
+
+
+@query("ids", "select id from ids where is_group and (depth = 0) <> starts_with(id, 'en/')")
+def tree_toggle(spark, sf_dir):
+    groups = _nodes(spark, sf_dir).where("is_group")
+    return tree.toggled(groups.where("depth = 0").select("id"), groups.where(F.col("id").startswith("en/")).select("id"))
+
+
+@query("ids", "select count(*) filter (not is_group) as files, count(*) filter (is_group) as folders from ids where starts_with(id, 'fr/')")
+def selection_summary(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    chosen = nodes.where(F.col("id").startswith("fr/")).select("id").unionByName(_inline(spark, "id", [("nowhere/",), ("fr/1/",)]))
+    return tree.selection_summary(nodes, chosen)
+
+
+@query("pos", """select id, coalesce(lag(id) over (order by pos), id) as up, coalesce(lead(id) over (order by pos), id) as down, (select min_by(id, pos) from pos) as home, (select max_by(id, pos) from pos) as "end",
+  case when parent_id in (select id from pos) then parent_id end as left, (select min_by(c.id, c.pos) from pos c where c.parent_id = pos.id) as right from pos""")
+def tree_keyboard(spark, sf_dir):
+    return tree.keyboard(tree.positions(_nodes(spark, sf_dir), "en/"))
+
+
 @query("ids", "select id from (values ('en/'), ('fr/2/'), ('de/1/')) v(id)")
 def tree_without_nested(spark, sf_dir):
     return tree.without_nested(_inline(spark, "id", [("en/",), ("en/1/",), ("fr/2/",), ("de/1/",)]))

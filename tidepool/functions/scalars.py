@@ -32,6 +32,18 @@ def response_of(header: Column, size: Column) -> Column:
     return F.struct(code.alias("code"), F.when(code == 206, r["last"] - r["first"] + 1).when(code == 200, size).otherwise(0).alias("length"))
 
 
+def ranged(content: Column, header: Column) -> Column:
+    """The bytes of a binary column that a Range header asks for: all without a usable header, null if it cannot be met."""
+    asked = F.transform(F.array(byte_range(header, F.octet_length(content).cast("long"))), lambda r: (
+        F.when(r["status"] == "none", content).when(r["status"] == "ok", F.substring(content, (r["first"] + 1).cast("int"), (r["last"] - r["first"] + 1).cast("int")))))
+    return asked[0]
+
+
+def retry_delay(attempt: Column, tries: int = 3, base_ms: int = 250) -> Column:
+    """Milliseconds to wait after failed attempt n (from 0): doubled each time, null after the last."""
+    return F.when(attempt < tries - 1, F.lit(base_ms).cast("long") * F.pow(F.lit(2), attempt).cast("long"))
+
+
 def valid_name(name: Column) -> Column:
     """3 to 63 of a-z, 0-9, dot and dash, with a letter or digit at both ends."""
     return F.coalesce(name.rlike(r"\A[a-z0-9][a-z0-9.-]{1,61}[a-z0-9]\z"), F.lit(False))

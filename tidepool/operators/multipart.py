@@ -58,3 +58,9 @@ def uploads_under(uploads: DataFrame, prefix: str, compat: bool = False, limit:
     """Uploads by key prefix, in order of key and id. compat: `%` and `_` in the prefix are wildcards."""
     match = F.col("key").like(prefix + "%") if compat else F.col("key").startswith(prefix)
     return uploads.where(match).orderBy("key", "id").limit(max(1, min(limit, 1000))).select("id", "key")
+
+
+def removed(uploads: DataFrame, parts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The uploads left after those of gone(id) are aborted, and the staging keys(upload_id, staging_key) that this frees."""
+    freed = parts.join(gone.select(F.col("id").alias("upload_id")).distinct(), "upload_id", "left_semi").select("upload_id", "staging_key")
+    return uploads.join(gone, "id", "left_anti"), freed

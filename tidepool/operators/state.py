@@ -69,3 +69,8 @@ def batch_delete(requests: DataFrame, objects: DataFrame, quiet: bool = False) -
     known = objects.select("key").distinct().withColumn("there", F.lit(True))
     out = requests.join(known, "key", "left").select("key", F.lit("deleted").alias("status"), F.coalesce("there", F.lit(False)).alias("existed"))
     return out.where(F.lit(False)) if quiet else out
+
+
+def outcome_counts(outcomes: DataFrame) -> DataFrame:
+    """(deleted, failed) of outcomes(status) key by key; what failed is counted, not rolled back."""
+    return outcomes.agg(F.count_if(F.col("status") == "deleted").alias("deleted"), F.count_if(F.col("status") != "deleted").alias("failed"))

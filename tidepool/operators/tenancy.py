@@ -48,6 +48,15 @@ def create_outcomes(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return out.select("seq", "name", F.when(F.col("there") | (F.col("rank") > 1), "exists").otherwise("created").alias("status"))
 
 
+def create_tenants(wanted: DataFrame, tenants: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables after wanted(name, email, seq): each new tenant with its first owner, neither without the other; names in use change nothing."""
+    made = create_outcomes(wanted.select("seq", "name"), tenants).where("status = 'created'").select("seq").join(wanted, "seq")
+    last = tenants.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    made = made.withColumn("id", F.expr("row_number() over (order by seq)") + F.lit(last).cast("long"))  # one request's names
+    owners = made.select(F.col("id").alias("tenant_id"), "email", F.lit("owner").alias("role"))
+    return tenants.select("id", "name").unionByName(made.select("id", "name")), members.select("tenant_id", "email", "role").unionByName(owners)
+
+
 def delete_namespace_outcomes(wanted: DataFrame, namespaces: DataFrame, objects: DataFrame) -> DataFrame:
     """wanted(name): missing, not_empty or deleted."""
     used = objects.select(F.col("namespace_id").alias("id")).distinct().withColumn("used", F.lit(True))

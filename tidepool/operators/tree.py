@@ -65,6 +65,40 @@ def removed(nodes: DataFrame, ids: list[str]) -> DataFrame:
     return left.withColumn("idx", (F.row_number().over(Window.partitionBy("parent_id").orderBy("idx")) - 1).cast("int"))
 
 
+def inserted(nodes: DataFrame, new: DataFrame, before: str) -> DataFrame:
+    """Nodes and new(id, place) ones ahead of `before`, in order of place; the siblings are numbered anew.
+
+    If `before` is not a node, the new ones come last among the roots.
+    """
+    at = nodes.where(F.col("id") == before).select("parent_id", "idx").first()  # ids are unique: one row
+    parent, idx = (at["parent_id"], at["idx"]) if at else (None, 2**31 - 1)
+    added = new.select("id", F.lit(parent).cast("string").alias("parent_id"), F.lit(idx).alias("idx"), F.lit(0).alias("old"), F.col("place").cast("long").alias("place"))
+    both = nodes.select("id", "parent_id", "idx", F.lit(1).alias("old"), F.lit(0).cast("long").alias("place")).unionByName(added)
+    beside = Window.partitionBy("parent_id").orderBy("idx", "old", "place")
+    return both.select("id", "parent_id", (F.row_number().over(beside) - 1).cast("int").alias("idx"))
+
+
+def collapsed(opened: DataFrame, ids: list[str]) -> DataFrame:
+    """The opened groups(id) after `ids` are closed: without them and without those below them."""
+    return opened.where(~F.col("id").isin(ids)).join(descendants(opened, ids), "id", "left_anti")
+
+
+def toggled(chosen: DataFrame, ids: DataFrame) -> DataFrame:
+    """The selection(id) after each of ids(id) is toggled: the symmetric difference of the two sets."""
+    both = chosen.select("id", F.lit(1).alias("n")).distinct().unionByName(ids.select("id", F.lit(1).alias("n")).distinct())
+    return both.groupBy("id").agg(F.sum("n").alias("n")).where("n = 1").select("id")
+
+
+def resolved(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The nodes of a selection(id); ids that name no node are dropped."""
+    return nodes.join(chosen.select("id").distinct(), "id", "left_semi")
+
+
+def selection_summary(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(files, folders) of a selection."""
+    return resolved(nodes, chosen).agg(F.count_if(~F.col("is_group")).alias("files"), F.count_if("is_group").alias("folders"))
+
+
 def without_nested(selected: DataFrame) -> DataFrame:
     """Selected ids without those below another selected one."""
     below = ancestors(selected).join(selected.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id")
@@ -85,6 +119,24 @@ def moves(placed: DataFrame) -> DataFrame:
     return placed.select("id", F.coalesce(F.lead("id").over(at), "id").alias("next"), F.coalesce(F.lag("id").over(at), "id").alias("previous"))
 
 
+def keyboard(placed: DataFrame) -> DataFrame:
+    """For every shown row, where each key leads: up and down (held at the ends), home, end, left (the parent, if shown), right (the first shown child)."""
+    order = Window.orderBy("pos")  # a folder's shown rows, as in positions()
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    child = placed.groupBy(F.col("parent_id").alias("of")).agg(F.min_by("id", "pos").alias("right"))
+    parents = placed.select(F.col("id").alias("left"))
+    moved = placed.select(
+        "id",
+        "parent_id",
+        F.coalesce(F.lag("id").over(order), "id").alias("up"),
+        F.coalesce(F.lead("id").over(order), "id").alias("down"),
+        F.first("id").over(whole).alias("home"),
+        F.last("id").over(whole).alias("end"),
+    )
+    moved = moved.join(parents, F.col("parent_id") == F.col("left"), "left").join(child, F.col("id") == F.col("of"), "left")
+    return moved.select("id", "up", "down", "home", "end", "left", "right")
+
+
 def type_ahead(placed: DataFrame, focus: int, typed: str) -> DataFrame:
     """The first row after the focus whose label starts with what was typed, wrapping around."""
     n = placed.agg(F.count("*").alias("n"))
