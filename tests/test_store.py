@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import digest, scalars
 from tidepool.operators import listing, retention, state
 from tidepool.plans.store import Store, StoreError
-from tidepool.sources import tables
+from tidepool.sources import config, tables
 from tidepool.streaming import flows
 
 
@@ -94,6 +94,50 @@ def test_store(spark, sf):
         store.list("ns-src0", delimiter="//")
 
 
+def _code(call):
+    with pytest.raises(StoreError) as e:
+        call()
+    return e.value.code
+
+
+def test_store_reads(spark, sf):
+    store = Store(spark, sf)
+    one = store.objects.where("size > 30").first()
+    got = store.get(one.ns, one.key, "bytes=5-9").first()
+    assert (got.code, got.length, len(got.content), got.etag) == (206, 5, 5, f'"{one.hash}"')
+    whole = store.get(one.ns, one.key).first()
+    assert whole.code == 200 and len(whole.content) == one.size and bytes(whole.content[5:10]) == bytes(got.content)
+    assert _code(lambda: store.get(one.ns, one.key, "bytes=999999999-")) == "InvalidRange"
+    assert _code(lambda: store.head(one.ns, "none")) == "NoSuchKey"
+    assert _code(lambda: store.namespace("none")) == "NoSuchBucket"
+    upload = tables.uploads(spark, sf).first()
+    assert store.parts(upload.ns, upload.key, upload.id, limit=1).first().part_number == 1
+    assert _code(lambda: store.parts(upload.ns, "other", upload.id)) == "NoSuchUpload"
+    assert store.uploads(upload.ns).count() > 0
+
+
+def test_store_tenancy(spark, sf):
+    store = Store(spark, sf)
+    member = tables.members(spark, sf).where("role = 'member'").join(tables.tenants(spark, sf), F.col("id") == F.col("tenant_id")).first()
+    assert store.members(member["name"], member.email).count() > 0
+    assert _code(lambda: store.members(member["name"], member.email, owner_only=True)) == "AccessDenied"
+    assert _code(lambda: store.members(member["name"], "nobody@example.com")) == "NoSuchTenant"
+    assert store.tenants(member.email).count() == 1
+    assert 0 < store.namespaces(member.email).count() < store.namespaces().count()
+
+
+def test_settings(spark, tmp_path):
+    path = tmp_path / "store.toml"
+    path.write_text('[gc]\ninterval_secs = 2\ngrace_secs = 7\n[storage]\nbackend = "s3"\nbucket = "b"\nroot = "r"\n[other]\nx = 1\n')
+    got = config.load(str(path), {"TIDEPOOL__GC__GRACE_SECS": "9", "TIDEPOOL__OIDC__ENABLED": "true", "TIDEPOOL__OIDC__ALLOWED_DOMAINS": "a.io, b.io", "TIDEPOOL__X__Y": "1", "PATH": "p"})
+    assert (got.gc.interval_secs, got.gc.every, got.gc.grace_secs, got.gc.multipart_expiry_secs) == (2, 5, 9, 86_400)
+    assert got.storage.address == "s3a://b/r" and got.oidc.enabled and got.oidc.allowed_domains == ["a.io", "b.io"]
+    assert config.load(str(tmp_path / "none.toml"), {}) == config.Settings()
+    with pytest.raises(ValueError):
+        config.load(str(path), {"TIDEPOOL__OIDC__ENABLED": "maybe"})
+    assert config.healthy(spark, f"file://{tmp_path}") and not config.healthy(spark, f"file://{tmp_path}/none")
+
+
 def test_backends():
     assert tables.backend_root("s3", bucket="b", root="r") == "s3a://b/r"
     with pytest.raises(ValueError):

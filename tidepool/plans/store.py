@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.operators import listing, stats, tenancy
+from tidepool.functions import scalars
+from tidepool.operators import listing, multipart, stats, tenancy
 from tidepool.sources import tables
 
 #: Codes by status.
@@ -47,3 +48,53 @@ class Store:
         mine = tenancy.visible_namespaces(tables.namespaces(self.spark, self.sf_dir), tables.members(self.spark, self.sf_dir), email)
         own = tables.nation_objects(self.spark, self.sf_dir).join(mine.select(F.col("id").alias("namespace_id")), "namespace_id", "left_semi")
         return stats.with_savings(stats.totals(own))
+
+    def namespaces(self, email: str | None = None) -> DataFrame:
+        """All by name; with an e-mail address, those of its tenants."""
+        every = tables.namespaces(self.spark, self.sf_dir)
+        return (every if email is None else tenancy.visible_namespaces(every, tables.members(self.spark, self.sf_dir), email)).orderBy("name")
+
+    def namespace(self, name: str) -> DataFrame:
+        return self._found(self.namespaces().where(F.col("name") == name), "NoSuchBucket", name)
+
+    def tenants(self, email: str) -> DataFrame:
+        return tenancy.tenants_of(tables.tenants(self.spark, self.sf_dir), tables.members(self.spark, self.sf_dir), email)
+
+    def members(self, tenant: str, email: str, owner_only: bool = False) -> DataFrame:
+        """Members by address. A tenant is hidden from those outside it; owner_only: and refused to its plain members."""
+        known, held = tables.tenants(self.spark, self.sf_dir), tables.members(self.spark, self.sf_dir)
+        asked = self.spark.range(1).select(F.lit(tenant).alias("tenant"), F.lit(email).alias("email"), F.lit(owner_only).alias("owner_only"))
+        status = tenancy.authorise(asked, known, held).first()["status"]
+        if status != 200:
+            raise StoreError("NoSuchTenant" if status == 404 else "AccessDenied", tenant)
+        own = known.where(F.col("name") == tenant).select(F.col("id").alias("tenant_id"))
+        return held.join(own, "tenant_id", "left_semi").select("email", "role").orderBy("email")
+
+    def head(self, ns: str, key: str, header: str | None = None) -> DataFrame:
+        """(key, etag, size, code, length) of an object; header: a Range."""
+        found = self._found(self.objects.where((F.col("ns") == ns) & (F.col("key") == key)), "NoSuchKey", f"{ns}/{key}")
+        out = found.select("key", scalars.etag(F.col("hash")).alias("etag"), "size", scalars.response_of(F.lit(header).cast("string"), F.col("size")).alias("r"))
+        if out.first()["r"]["code"] == 416:
+            raise StoreError("InvalidRange", header or "")
+        return out.select("key", "etag", "size", "r.code", "r.length")
+
+    def get(self, ns: str, key: str, header: str | None = None) -> DataFrame:
+        """head(), and the bytes asked for."""
+        about = self.head(ns, key, header)
+        contents = tables.contents(self.spark, self.sf_dir).where((F.col("ns") == ns) & (F.col("key") == key))
+        return about.join(contents.select("key", scalars.ranged(F.col("content"), F.lit(header).cast("string")).alias("content")), "key")
+
+    def uploads(self, ns: str, prefix: str = "", compat: bool = False) -> DataFrame:
+        return multipart.uploads_under(tables.uploads(self.spark, self.sf_dir).where(F.col("ns") == ns), prefix, compat)
+
+    def parts(self, ns: str, key: str, upload_id: int, after: int = 0, limit: int = 1000) -> DataFrame:
+        """A page of an upload's parts; namespace and key must be the upload's own."""
+        own = tables.uploads(self.spark, self.sf_dir).where((F.col("id") == upload_id) & (F.col("ns") == ns) & (F.col("key") == key))
+        self._found(own, "NoSuchUpload", str(upload_id))
+        return multipart.parts_page(tables.parts(self.spark, self.sf_dir), upload_id, after, limit)
+
+    @staticmethod
+    def _found(rows: DataFrame, code: str, detail: str) -> DataFrame:
+        if rows.isEmpty():
+            raise StoreError(code, detail)
+        return rows

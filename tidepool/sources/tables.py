@@ -30,6 +30,13 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ns, key, content): the bytes of the same objects."""
+    d = load(spark, sf_dir, "documents")
+    key = F.concat_ws("/", "lang", (F.col("doc_id") % 10).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return d.select(F.concat(F.lit("ns-"), "source").alias("ns"), key.alias("key"), F.col("text").cast("binary").alias("content"))
+
+
 def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ns, key, hash, size): pages as objects, by host and path."""
     p, parts = load(spark, sf_dir, "pages"), r"^https?://([^/]+)/([^?#]*)"
