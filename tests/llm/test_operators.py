@@ -87,6 +87,56 @@ def test_tiles_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
 
 
+def _slow_long_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh3_128_intdigest(s.encode(), 42) for s in ([" ".join(w[i : i + 5]) for i in range(len(w) - 4)] or [" ".join(w)])]
+    n = [sum(x >> b & 1 for x in h) for b in range(128)]
+    return sum(1 << b for b in range(128) if 2 * n[b] > len(h) or 2 * n[b] == len(h) and h[0] >> b & 1)
+
+
+def test_deduplication_against_brute_force(spark, docs, texts):
+    rng = random.Random(6)
+    given = dict(texts)
+    for k, i in enumerate(sorted(texts)[:200]):  # near copies: some words changed
+        w = (texts[i] or "").split(" ")
+        given[100_000 + k] = " ".join(rng.choice(("x", "y")) + x if rng.random() < 0.01 * (k % 5) else x for x in w)
+    prints = {i: _slow_long_fingerprint(t) for i, t in given.items()}
+    assert all(prints[i] == h << 64 | low for i in given for h, low in [simhash.long_fingerprint_of(given[i])])
+    label = {i: i for i in given}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    order = sorted(given)
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            if (prints[i] ^ prints[j]).bit_count() <= simhash.LONG_RADIUS:
+                x, y = sorted((root(i), root(j)))
+                label[y] = x
+    df = spark.createDataFrame([*given.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == sorted({root(i) for i in given})
+
+
+def test_blocks_lose_no_long_link(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(128) for _ in range(40)]
+    prints = base + [b ^ sum(1 << x for x in rng.sample(range(128), n)) for b in base for n in (1, 12, 24, 25)]
+    halves = np.array([[p >> 64, p & (1 << 64) - 1] for p in prints], np.uint64).view(np.int64).tolist()
+    df = spark.createDataFrame([(i, *h) for i, h in enumerate(halves)], "node long, f0 long, f1 long")
+    got = {r.node: r.root for r in connected_components(simhash.long_links(df, 24, block_rows=7)).collect()}
+    label = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 24 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert [got.get(i, i) for i in range(len(prints))] == label
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

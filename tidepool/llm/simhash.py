@@ -1,8 +1,12 @@
-"""SimHash near-duplicates: 64-bit fingerprints of 3-word shingles, linked by tiled exact comparison.
+"""SimHash near-duplicates: fingerprints of word shingles, linked by tiled exact comparison.
 
-Distinct fingerprints fall into tiles by the population counts of their four 16-bit words. Two fingerprints within
-`radius` bits have population counts that differ by no more than `radius` in sum over the four words, so every other
-pair of tiles is skipped without loss. A tile of any size is cut into blocks of about `block_rows` fingerprints; each
+near_duplicates() has 64-bit fingerprints of 3-word shingles and links at 2 bits. deduplicated() has 128-bit ones of
+5-word shingles and links at 24 bits: shingle sets of a Jaccard similarity of 0.8 make fingerprints that differ in 19 of
+128 bits on average (standard deviation 4), unrelated ones in 64 (6).
+
+Distinct fingerprints fall into tiles by population counts: of the four 16-bit words of a 64-bit fingerprint, or of a
+128-bit one in bands of the radius. Two fingerprints within `radius` bits have population counts that differ by no more
+than `radius` (in sum over the words), so every other pair of tiles is skipped without loss. A tile of any size is cut into blocks of about `block_rows` fingerprints; each
 pair of blocks is compared whole, with exclusive-or and bit counts in numpy, and yields at most one link per
 fingerprint (the links that connect what it found), never all pairs. Components come from distributed star rounds.
 """
@@ -23,6 +27,8 @@ from tidepool.llm.components import connected_components
 
 SEED = 42
 WORDS = 3
+#: Of the 128-bit fingerprints.
+LONG_WORDS, LONG_RADIUS = 5, 24
 
 
 def fingerprint_of(text: str | None) -> int:
@@ -43,6 +49,26 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def long_fingerprint_of(text: str | None, shingle: int = LONG_WORDS) -> tuple[int, int]:
+    """The 128-bit fingerprint of one text as two unsigned halves. A bit that half the hashes set is that of the first
+    hash, so that texts of few shingles lie as far apart as others. Null and texts without words give zeros."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, 0
+    line, digest = b" ".join(words), xxhash.xxh3_128_digest
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+    starts = range(max(1, len(words) - shingle + 1))
+    counts, first = np.zeros(128, np.int64), None
+    for at in range(0, len(starts), 4096):
+        joined = b"".join([digest(line[a : b - 1], SEED) for a, b in zip(ends[at : at + 4096], ends[at + min(shingle, len(words)) :])])
+        bits = np.unpackbits(np.frombuffer(joined, np.uint8).reshape(-1, 16)[: len(starts) - at], axis=1)
+        first = bits[0].astype(bool) if first is None else first
+        counts += bits.sum(axis=0, dtype=np.uint16)
+    twice = counts * 2
+    high, low = np.packbits((twice > len(starts)) | ((twice == len(starts)) & first)).view(">u8")
+    return int(high), int(low)
+
+
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint_of(t) for t in texts], np.uint64).view(np.int64))
 
@@ -52,16 +78,34 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), mapped(_fingerprints, "long", F.col(text_col).cast("string")).alias("fp"))
 
 
-def compare_blocks(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, root) that connect all pairs within radius: inside a if b is None, else between a and b. At most one per node."""
+def links_of_blocks(a: np.ndarray, b: np.ndarray | None, radius: int, a_rest: np.ndarray | None = None, b_rest: np.ndarray | None = None, cells: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Places (node, root) in a, then b, of links that connect all pairs within radius: inside a if b is None, else between a and b. At most one per node.
+
+    a_rest, b_rest: the other halves of longer fingerprints. cells: how many pairs are compared at a time.
+    """
     both = a if b is None else np.concatenate([a, b])
+    rest = a_rest if b is None or a_rest is None else np.concatenate([a_rest, b_rest])
     right, shift = (a, 0) if b is None else (b, len(a))
     label = np.arange(len(both))
+    rows = max(1, cells // max(1, len(right)))
+    # of two halves that differ in at most radius bits, one differs in at most half as many
+    passes = [(a, right, radius)] if rest is None else [(a, right, radius // 2), (a_rest, a_rest if b is None else b_rest, radius // 2)]
+    differ, count = np.empty((rows, len(right)), np.uint64), np.empty((rows, len(right)), np.uint8)
     for at in range(0, len(a), rows):
-        near = np.bitwise_count(a[at : at + rows, None] ^ right[None, :]) <= radius
-        u, v = np.nonzero(near)
-        u, v = u + at, v + shift
-        u, v = u[u != v], v[u != v]
+        n, found = min(rows, len(a) - at), []
+        for mine, theirs, most in passes:
+            np.bitwise_xor(mine[at : at + n, None], theirs[None, :], out=differ[:n])
+            near = np.bitwise_count(differ[:n], out=count[:n]) <= most
+            if near.any():
+                found.append(np.nonzero(near))
+        if not found:
+            continue
+        u, v = np.concatenate([x for x, _ in found]) + at, np.concatenate([y for _, y in found]) + shift
+        open_ = label[u] != label[v]
+        u, v = u[open_], v[open_]
+        if rest is not None and len(u):
+            near = np.bitwise_count(both[u] ^ both[v]) + np.bitwise_count(rest[u] ^ rest[v]) <= radius
+            u, v = u[near], v[near]
         while len(u):
             lu, lv = label[u], label[v]
             open_ = lu != lv
@@ -72,7 +116,14 @@ def compare_blocks(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int =
             while (label != (up := label[label])).any():
                 label = up
     moved = np.nonzero(label != np.arange(len(both)))[0]
-    return both[moved], both[label[moved]]
+    return moved, label[moved]
+
+
+def compare_blocks(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """links_of_blocks() as values instead of places."""
+    both = a if b is None else np.concatenate([a, b])
+    node, root = links_of_blocks(a, b, radius)
+    return both[node], both[root]
 
 
 def _offsets(radius: int, words: int = 4) -> list[tuple[int, ...]]:
@@ -146,10 +197,62 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """The rows of docs, one for each component: that of the smallest id; of several rows with that id, any one. Null ids stay."""
-    keep = near_duplicates(docs, id_col, text_col, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__tp_keep"))
-    kept = docs.join(keep.distinct(), F.col(id_col) == F.col("__tp_keep"), "left_semi")
+def long_links(prints: DataFrame, radius: int = LONG_RADIUS, block_rows: int = 16_384) -> DataFrame:
+    """(a, b): links between nodes of prints(node, f0, f1: long) that give the same components as all pairs within radius."""
+    band = F.floor((F.bit_count("f0") + F.bit_count("f1")) / max(1, radius)).cast("int")
+    one = saved(prints.where("node is not null").select("node", "f0", "f1", band.alias("tile")))
+    # at most 129 rows
+    tiles = saved(one.groupBy("tile").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts")))
+    blocks = saved(
+        one.join(F.broadcast(tiles), "tile")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .groupBy("tile", "part")
+        .agg(F.collect_list(F.struct("node", "f0", "f1")).alias("own"))
+        .select("tile", "part", *[F.col(f"own.{c}").alias(c) for c in ("node", "f0", "f1")])
+    )
+    pairs = (
+        blocks.select("tile", "part", F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))  # further bands lie beyond the radius
+        .withColumn("other", F.col("tile") + F.col("step"))
+        .join(F.broadcast(tiles.select(F.col("tile").alias("other"), "parts")), "other")
+        .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .where("tile <> other or mate >= part")
+    )
+    left = blocks.select("tile", "part", F.struct("node", "f0", "f1").alias("left"))
+    right = blocks.select(F.col("tile").alias("other"), F.col("part").alias("mate"), F.struct("node", "f0", "f1").alias("right"))
+    work = pairs.join(right, ["other", "mate"]).join(left, ["tile", "part"])
+    work = work.select("left.*", *[F.when(F.expr("tile <> other or part <> mate"), F.col(f"right.{c}")).alias(f"{c}_r") for c in ("node", "f0", "f1")])
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                inside = row.node_r is None
+                halves = [np.asarray(x, np.int64).view(np.uint64) for x in (row.f0, row.f1)]
+                others = [None, None] if inside else [np.asarray(x, np.int64).view(np.uint64) for x in (row.f0_r, row.f1_r)]
+                u, v = links_of_blocks(halves[0], others[0], radius, halves[1], others[1])
+                nodes = np.asarray(row.node, np.int64) if inside else np.concatenate([np.asarray(row.node, np.int64), np.asarray(row.node_r, np.int64)])
+                if len(u):
+                    yield pd.DataFrame({"a": nodes[u], "b": nodes[v]})
+
+    return work.mapInPandas(compare, "a long, b long")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = LONG_RADIUS, shingle: int = LONG_WORDS) -> DataFrame:
+    """The rows of docs, one for each group of near copies: that of the smallest id; of several rows with that id, any one. Null ids stay.
+
+    Groups are the components of texts whose 128-bit fingerprints of `shingle`-word shingles differ in at most `radius`
+    bits. Null, empty and wordless texts are one group. Ids must be whole numbers. An empty table gives no rows.
+    """
+
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        both = np.array([long_fingerprint_of(t, shingle) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"f0": both[:, 0], "f1": both[:, 1]})
+
+    found = docs.select(F.col(id_col).alias("id"), mapped(measure, "struct<f0: long, f1: long>", F.col(text_col).cast("string")).alias("f"))
+    # a group of equal fingerprints is one node, its smallest id
+    low = saved(found.where("id is not null").groupBy("f.f0", "f.f1").agg(F.min("id").cast("long").alias("node")))
+    roots = connected_components(long_links(low, radius))
+    keep = saved(low.select("node").distinct().join(roots.where("node <> root").select("node"), "node", "left_anti").select(F.col("node").alias("__tp_keep")))
+    kept = docs.join(keep, F.col(id_col) == F.col("__tp_keep"), "left_semi")
     again = docs.groupBy(id_col).count().where(F.col(id_col).isNotNull() & (F.col("count") > 1))
     if not again.isEmpty():
         kept = kept.dropDuplicates([id_col])
