@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of the smallest id of each group of near-duplicates."""
+    """The row of the smallest id of each group of near-duplicates: 5-word shingles, a similarity of 0.8 or more."""
     return simhash.deduplicated(docs)
 
 
