@@ -331,6 +331,15 @@ def test_disclosing_terms_are_learned(spark):
     assert "ann@corp" not in clean[0] and "zebrafield" not in clean[0] and "[EMAIL]" in clean[0] and clean[10] == rows[10]
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    rows = ["mail bob@corp.example of zebrafield at once " + "and so on " * 40 + "zebrafield", "here zebrafield stands alone and so on"] + [f"other text {i} about the mail at once and so on here alone" for i in range(62)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    said = {r.doc_id: [rows[r.doc_id][s.start : s.end] for s in r.learned] for r in privacy.personal_data(df, generalise=0.7).collect()}
+    assert said[0] == ["zebrafield"] * 2 and said[1] == ["zebrafield"] and not any(said[i] for i in range(2, 64))
+    told = {r.doc_id: r.text for r in privacy.sanitised(df, generalise=0.7).collect()}
+    assert "zebrafield" not in told[0] + told[1]
+
+
 # -- 9
 
 

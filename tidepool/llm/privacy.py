@@ -3,8 +3,9 @@
 Base spans are e-mail and IP addresses, card and phone numbers. Around each, the words within a window are its context.
 For a term t and a protected entity e (a base value), counts of documents over the whole corpus give the pointwise mutual
 information PMI(t; e) and the entity's information content IC(e) = -log p(e); their ratio is the share of the entity's
-identity that the term discloses. A term seen in the context of e in `support` different texts, with a ratio of at least
-`generalise`, is a span to generalise there, and of at least `remove` one to remove.
+identity that the term discloses. A term counts for e if it stands in the context of e in `support` different texts, or in all
+texts of e if there are fewer; such thin evidence is smoothed by one more text that holds the term without e. With a ratio of
+at least `generalise` the term is a span to generalise wherever it occurs in any text, and of at least `remove` one to remove.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from tidepool.llm.base import mapped, saved
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = ("generalise", "remove")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
-#: Slots of the filter of candidate terms that every counting task gets.
-SLOTS = 1 << 20
+#: Slots of the filter of candidate terms that every counting task gets; each term fills as many as there are shifts of its hash.
+SLOTS, SHIFTS = 1 << 23, (0, 21, 41)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -76,7 +78,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def terms_of(text: str) -> set[str]:
-    return set(_TERM.findall(text.lower()))
+    return {w.lower() for w in set(_TERM.findall(text))}
 
 
 def context(text: str, spans: list[tuple[str, int, int]], words: int, reach: int) -> list[tuple[str, str, int, int]]:
@@ -93,22 +95,35 @@ def context(text: str, spans: list[tuple[str, int, int]], words: int, reach: int
     return found
 
 
-def _counted(texts: DataFrame, wanted: DataFrame, flush: int = 200_000) -> DataFrame:
-    """(term, n): in how many rows of texts(text) each of wanted(term) occurs. The filter has a fixed size; the join is exact."""
-    slot = wanted.select(F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int").alias("s"))
+def _passing(terms: set[str], filled: np.ndarray) -> set[str]:
+    """The terms all of whose slots are filled."""
+    digest, low = xxhash.xxh64_intdigest, SLOTS - 1
+    hashed = ((t, digest(t.encode("utf-8", "surrogatepass"), 42)) for t in terms)
+    return {t for t, h in hashed if filled[h & low] and all(filled[h >> k & low] for k in SHIFTS[1:])}
+
+
+def _filter(wanted: DataFrame) -> Broadcast:
+    """Of SLOTS slots, those that wanted(term) fill; its size is fixed."""
+    h = F.xxhash64("term")
+    slot = wanted.select(F.explode(F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for k in SHIFTS])).alias("s"))
     bits = slot.groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits"))
     filled = np.zeros(SLOTS // 32, np.uint32)
     for r in bits.collect():  # SLOTS / 32 rows at most
         filled[r["word"]] = r["bits"]
-    shared = texts.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool))
+    return wanted.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool))
+
+
+def _counted(texts: DataFrame, wanted: DataFrame, flush: int = 200_000) -> DataFrame:
+    """(term, n): in how many rows of texts(text) each of wanted(term) occurs. The filter lets some others through; the join is exact."""
+    shared = _filter(wanted)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
-        open_, digest = shared.value, xxhash.xxh64_intdigest
+        open_ = shared.value
         for batch in batches:
             for text in batch["text"]:
                 if text:
-                    seen.update(t for t in terms_of(text) if open_[digest(t.encode("utf-8", "surrogatepass"), 42) % SLOTS])
+                    seen.update(_passing(terms_of(text), open_))
                 if len(seen) >= flush:
                     yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
                     seen.clear()
@@ -119,6 +134,28 @@ def _counted(texts: DataFrame, wanted: DataFrame, flush: int = 200_000) -> DataF
     return counts.join(wanted, "term", "left_semi")
 
 
+def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """(t, start, end, share): every place of the terms of told(term, share) in texts(t, text), outside of base spans."""
+    shared = _filter(told)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_ = shared.value
+        for batch in batches:
+            found = []
+            for t, text in batch.drop_duplicates("t").itertuples(index=False):
+                hits = _passing(terms_of(text), open_)
+                if hits:
+                    taken = base_spans(text)
+                    for m in _TERM.finditer(text):
+                        if (w := m[0].lower()) in hits and not any(a < m.end() and m.start() < b for _, a, b in taken):
+                            found.append((t, w, m.start(), m.end()))
+            if found:
+                yield pd.DataFrame(found, columns=["t", "term", "start", "end"])
+
+    places = texts.select("t", "text").mapInPandas(find, "t long, term string, start int, end int")
+    return places.join(told, "term").groupBy("t", "start", "end").agg(F.max("share").alias("share"))
+
+
 def found_spans(docs: DataFrame, text_col: str = "text", words: int = 8, reach: int = 200) -> Column:
     """struct(base, context) of a text column; null texts count as empty."""
 
@@ -141,12 +178,12 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, n: int, generalise: flo
     """
     near = found.where(F.size("context") > 0).select("t", F.explode(F.array_distinct(F.transform("context", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("c"))
     pairs = near.groupBy("c.entity", "c.term", "t").agg(F.count("*").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    pairs = saved(pairs)
+    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts"))
     held = found.where(F.size("context") > 0).select("t", F.explode(F.array_distinct(F.transform("context", lambda c: c["entity"]))).alias("entity"))
-    n_e = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = held.groupBy("entity", "t").agg(F.count("*").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("e_texts"))
+    pairs = saved(pairs.join(n_e, "entity").where(F.col("texts") >= F.least(F.lit(support), F.col("e_texts"))))
     n_t = _counted(texts, pairs.select("term").distinct())
-    both = pairs.join(n_e, "entity").join(n_t, "term")
+    both = pairs.join(n_t, "term").withColumn("n_t", F.col("n_t") + (F.col("texts") < support).cast("int"))
     information = F.log(F.lit(float(max(n, 1))) / F.col("n_e"))
     mutual = F.log(F.col("n_te") * F.lit(float(max(n, 1))) / (F.col("n_t") * F.col("n_e")))
     both = both.select("entity", "term", F.when(information > 0, mutual / information).otherwise(0.0).alias("share"))
@@ -165,10 +202,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = rows.select("doc_id", F.xxhash64("text").alias("t"), found_spans(rows, "text", words, reach).alias("f"))
     found = saved(found.select("doc_id", "t", "f.base", "f.context"))
     told = disclosing_terms(found.select("t", "context"), rows.select("text"), found.count(), generalise, support)
-    places = found.where(F.size("context") > 0).select("t", F.explode("context").alias("c")).select("t", "c.*").distinct()
-    places = places.join(told, ["entity", "term"]).groupBy("t", "start", "end").agg(F.max("share").alias("share"))
+    told = saved(told.groupBy("term").agg(F.max("share").alias("share")))
+    places = occurrences(rows.select(F.xxhash64("text").alias("t"), "text"), told)
     span = F.struct(F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("kind"), "start", "end")
-    learned = places.groupBy("t").agg(F.sort_array(F.collect_list(span)).alias("learned"))
+    # written first: then Spark can split a text that many rows share in the join
+    learned = saved(places.groupBy("t").agg(F.sort_array(F.collect_list(span)).alias("learned")))
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
     return found.select("doc_id", "t", "base").join(learned, "t", "left").select("doc_id", "t", "base", F.coalesce("learned", none).alias("learned"))
 
