@@ -121,6 +121,30 @@ def test_deduplication_against_brute_force(spark, docs, texts):
     assert sorted(r.doc_id for r in simhash.deduplicated(df).collect()) == sorted({root(i) for i in given})
 
 
+def _slow_similarity(x, y):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("local", [1000, 1])
+def test_only_similar_texts_go(spark, docs, texts, local, monkeypatch):
+    rng = random.Random(8)
+    given = {i: t for i, t in texts.items() if t and t.split()}
+    for k, i in enumerate(sorted(given)[:120]):
+        given[100_000 + k] = " ".join("x" + x if rng.random() < 0.01 * (k % 5) else x for x in given[i].split(" "))
+    given |= {200_000: "the price of the book rose", 200_001: "the price of the book fell", 200_002: "the price of the book rose"}
+    rows = [*given.items(), (7, "a text of its own under an id that is used again"), (7, "the price of the book rose")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = simhash.leaders
+    monkeypatch.setattr(simhash, "leaders", lambda groups, similarity: whole(groups, similarity, local))
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicated_exactly(df).collect()]
+    assert {200_001, 7} <= {i for i, _ in kept} and 200_002 not in {i for i, _ in kept}
+    assert (7, "a text of its own under an id that is used again") in kept
+    for i, text in rows:
+        if (i, text) not in kept:
+            assert any(j <= i and _slow_similarity(text, t) >= 0.8 for j, t in kept), i
+
+
 def test_blocks_lose_no_long_link(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(128) for _ in range(40)]

@@ -257,3 +257,86 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not again.isEmpty():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_set(text: str | None, shingle: int = LONG_WORDS) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; fewer words than `shingle` are one."""
+    words = _words(text)
+    line, digest = b" ".join(words), xxhash.xxh3_64_intdigest
+    ends = list(accumulate((len(w) + 1 for w in words), initial=0))
+    return np.unique(np.array([digest(line[a : b - 1], SEED) for a, b in zip(ends, ends[min(shingle, len(words)) :])] if words else [], np.uint64)).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets have that Jaccard similarity at least."""
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (least + most - both)
+
+
+def leaders(groups: DataFrame, similarity: float, local: int = 1000) -> DataFrame:
+    """(node): of groups(node, low, root, own), by ascending low in each root, the nodes whose set is not similar to that of a node before that is given.
+
+    Groups of more than `local` nodes are first thinned by rounds that hold all nodes against the first one left; the
+    rest of a group is one task's.
+    """
+    rest, given = groups, []
+    while not rest.groupBy("root").count().where(F.col("count") > local).isEmpty():
+        large = rest.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct("low", "node")).alias("first")).where(F.col("n") > local)
+        first = saved(rest.join(large.select("first.node"), "node").select("root", F.col("node").alias("leader"), F.col("own").alias("theirs")))
+        given.append(first.select(F.col("leader").alias("node")))
+        both = F.size(F.array_intersect("own", "theirs"))
+        close = F.col("leader").isNotNull() & ((F.col("node") == F.col("leader")) | (both >= similarity * (F.size("own") + F.size("theirs") - both)))
+        rest = saved(rest.join(first, "root", "left").where(~close).select(*groups.columns))
+
+    def pick(some: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, np.ndarray]] = []
+        for row in some.sort_values(["low", "node"]).itertuples(index=False):
+            own = np.asarray(row.own, np.int64)
+            if not any(similar(own, x, similarity) for _, x in found):
+                found.append((row.node, own))
+        return pd.DataFrame({"node": [n for n, _ in found]})
+
+    out = rest.groupBy("root").applyInPandas(pick, "node long")
+    for more in given:
+        out = out.unionByName(more)
+    return out
+
+
+def deduplicated_exactly(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = LONG_RADIUS, shingle: int = LONG_WORDS, similarity: float = 0.8) -> DataFrame:
+    """docs without the rows that are near copies of a kept row of a smaller id (or of the same id and another text).
+
+    Candidates are the groups of deduplicated(); in each, by ascending id, a row goes if its `shingle`-word shingles have
+    a Jaccard similarity of `similarity` or more to those of a row kept before. Equal words are one text, as are all texts
+    without words. Rows are decided one by one, so a repeated id with another text stays. Null ids stay.
+    """
+
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        both = np.array([long_fingerprint_of(t, shingle) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+        node = np.array([xxhash.xxh3_64_intdigest(b" ".join(_words(t)), SEED) for t in texts], np.uint64).view(np.int64)
+        return pd.DataFrame({"f0": both[:, 0], "f1": both[:, 1], "node": node})
+
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle) for t in texts], dtype=object)
+
+    text = F.col(text_col).cast("string")
+    hashed = docs.withColumn("__tp_t", F.coalesce(F.xxhash64(text), F.lit(0)))
+    found = hashed.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col("__tp_t").alias("t"), mapped(measure, "struct<f0: long, f1: long, node: long>", text).alias("f"))
+    nodes = saved(found.groupBy("f.node").agg(F.min(F.struct("id", "t")).alias("row"), F.first("f.f0").alias("f0"), F.first("f.f1").alias("f1")).select("node", F.col("row.id").alias("__tp_id"), F.col("row.t").alias("__tp_row"), "f0", "f1"))
+    roots = saved(connected_components(long_links(nodes.select("node", "f0", "f1"), radius)))
+    held = nodes.join(roots, "node").select("node", "root", "__tp_id", "__tp_row")
+    own = hashed.select(F.col(id_col).alias("__tp_given"), "__tp_t", text.alias("text")).join(held, (F.col("__tp_given") == F.col("__tp_id")) & (F.col("__tp_t") == F.col("__tp_row")))
+    own = own.select("node", "root", F.col("__tp_id").alias("low"), mapped(sets, "array<long>", F.col("text")).alias("own"))
+    own = saved(own.dropDuplicates(["node"]))
+    gone = own.select("node").join(saved(leaders(own, similarity)), "node", "left_anti")
+    keep = saved(nodes.join(gone, "node", "left_anti").select("__tp_id", "__tp_row"))
+    kept = hashed.join(keep, (F.col(id_col) == F.col("__tp_id")) & (F.col("__tp_t") == F.col("__tp_row")), "left_semi")
+    if not hashed.groupBy(id_col, "__tp_t").count().where(F.col(id_col).isNotNull() & (F.col("count") > 1)).isEmpty():
+        kept = kept.dropDuplicates([id_col, "__tp_t"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
