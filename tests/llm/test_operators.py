@@ -378,6 +378,15 @@ def test_mixing_meets_targets(spark, docs):
     assert (clean.rate > 0.5).mean() > 0.98
 
 
+def test_mixing_meets_each_target_with_production_parameters(spark):
+    sf = "/root/testdata/sf0.1"
+    r = queries.op9_mixing(spark, sf).toPandas()
+    got = {k: (r[f"p_{k}"] * r.n_tokens * r.rate).sum() for k in queries.TARGETS}
+    for k, share in queries.TARGETS.items():
+        assert got[k] / sum(got.values()) == pytest.approx(share, rel=0.01)
+
+
+
 # -- 10
 
 

@@ -2,15 +2,18 @@
 
 A Bernoulli naive Bayes classifier over hashed words, learned from a labelled table, gives each document a posterior
 for every domain; words count that are more frequent in a domain than in the largest one by more than chance. Projected gradient descent on least squares then finds nonnegative document rates whose expected tokens by
-domain match the targets: rate <- max(0, rate - step x sum over domains of residual x posterior). Documents with the
+domain match the targets: rate <- max(0, rate - sum over domains of step x posterior), where the steps are the residuals
+over the Gram matrix of the posteriors of documents with a rate above 0. Documents with the
 same posterior (rounded to `grid` steps) have the same rate, so each round sums over a table of such cells, whose number
-is bounded by the grid, and sends one number for each domain to the driver.
+is bounded by the grid, and sends one number for each domain and pair of domains to the driver.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +87,7 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
 
 
 def _rate(posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate after the given gradient steps (for each, step x residual of every domain), from rate 1."""
+    """The rate after the given gradient steps (for each, one number for every domain), from rate 1."""
     rate = F.lit(1.0)
     for step in steps:
         rate = F.greatest(F.lit(0.0), rate - sum((F.lit(float(s)) * posterior[i] for i, s in enumerate(step)), F.lit(0.0)))
@@ -102,6 +105,8 @@ def mixed_rates(
     rate's whole part, and one more for as large a share of the documents as its fraction, drawn by a hash of id and text;
     so equal rows get equal copies. Null texts have no tokens, and the prior as posterior. Null ids stay; an empty table
     gives no rows; without labelled documents all belong to one domain and keep rate 1. Other columns are dropped.
+    The rounds end when every domain's expected tokens are within `tolerance` of its goal (of its present tokens, for a
+    goal of 0); where `rounds` do not get there, as for a domain that no text belongs to, a warning gives the residuals.
     """
     model = learn(docs, labelled, id_col, text_col, domain_col, per_domain, buckets)
     names = model.names
@@ -113,26 +118,34 @@ def mixed_rates(
     rows = saved(rows.withColumn("p", cell))
     cells = saved(rows.groupBy("p").agg(F.sum("n_tokens").alias("n")))
 
-    def sums(steps: list[list[float]]) -> list[float]:
-        w = cells.select("p", (F.col("n") * _rate(F.col("p"), steps)).alias("n"))
-        got = w.agg(*[F.sum(F.col("n") * F.col("p")[k]).alias(f"s{k}") for k in range(len(names))]).first()
-        return [float(x or 0.0) for x in got]
+    k = range(len(names))
 
-    now = sums([])
-    weight = [max(0.0, targets.get(x, 0.0)) for x in names]
+    def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of every domain, and the Gram matrix of the cells with a rate above 0."""
+        w = cells.select("p", "n", _rate(F.col("p"), steps).alias("rate"))
+        own = [F.sum(F.col("n") * F.col("rate") * F.col("p")[i]) for i in k]
+        gram = [F.sum(F.when(F.col("rate") > 0, F.col("n") * F.col("p")[i] * F.col("p")[j])) for i in k for j in k]
+        got = np.array([float(x or 0.0) for x in w.agg(*[c.alias(f"s{i}") for i, c in enumerate(own + gram)]).first()])
+        return got[: len(k)], got[len(k) :].reshape(len(k), len(k))
+
+    now, gram = sums([])
+    weight = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
     steps: list[list[float]] = []
-    if sum(weight) > 0 and sum(now) > 0:
-        weight = [w / sum(weight) for w in weight]
-        held = names.index(keep) if keep in names else weight.index(max(weight))
-        whole = total if total is not None else now[held] / weight[held]
-        goal = [w * whole for w in weight]
-        size = [max(x, 1.0) for x in now]
+    if weight.sum() > 0 and now.sum() > 0:
+        weight /= weight.sum()
+        held = names.index(keep) if keep in names else int(weight.argmax())
+        goal = weight * (total if total is not None else now[held] / weight[held])
+        size = np.maximum(np.where(goal > 0, goal, now), 1.0)
         for _ in range(rounds):
-            off = [(a - g) / z for a, g, z in zip(now, goal, size)]
-            if max(map(abs, off)) < tolerance:
+            off = now - goal
+            if max(abs(off) / size) < tolerance:
                 break
-            steps.append([0.9 * x for x in off])
-            now = sums(steps)
+            steps.append([float(x) for x in np.linalg.lstsq(gram, off)[0]])
+            now, gram = sums(steps)
+        else:
+            off = (now - goal) / size
+            if max(abs(off)) >= tolerance:
+                warnings.warn(f"mixing: off the goals after {rounds} rounds by {dict(zip(names, off.round(4).tolist()))}", stacklevel=2)
     rate = _rate(F.col("p"), steps)
     out = rows.withColumn("rate", rate).withColumn("draw", F.pmod(F.xxhash64("doc_id", "t", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30))
     copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
