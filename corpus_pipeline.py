@@ -31,10 +31,10 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each row as its rate rounds to: rows of the domain that is held keep one, over-represented domains lose theirs."""
+    """As many copies of each row as the operator draws for it: the whole part of its rate, and one more for its fraction's share of the rows."""
     rates = mixing.mixed_rates(docs, domains(table(spark, sf_dir, "labels")), TARGETS, with_rows=True)
-    times = F.explode(F.sequence(F.lit(1), F.floor(F.col("rate") + 0.5).cast("int")))
-    return rates.where("rate >= 0.5").select("row", times.alias("time")).select("row.*")
+    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return rates.where("copies > 0").select("row", times.alias("time")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidepool.llm import langid, licences, maintext, merkle, mixing, packing, privacy, quality, queries, simhash, topk
 from tidepool.llm.components import connected_components
 
@@ -386,6 +387,16 @@ def test_mixing_meets_each_target_with_production_parameters(spark):
         assert got[k] / sum(got.values()) == pytest.approx(share, rel=0.01)
 
 
+def test_mixing_stage_meets_targets(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.mix(spark, docs, sf).groupBy("doc_id").count().toPandas()
+    r = queries.op9_mixing(spark, sf).toPandas().merge(out, on="doc_id")
+    got = {k: (r[f"p_{k}"] * r.n_tokens * r["count"]).sum() for k in queries.TARGETS}
+    for k, share in queries.TARGETS.items():
+        assert got[k] / sum(got.values()) == pytest.approx(share, rel=0.1)
+
+
 
 # -- 10
 
