@@ -4,8 +4,8 @@ A Bernoulli naive Bayes classifier over hashed words, learned from a labelled ta
 for every domain; words count that are more frequent in a domain than in the largest one by more than chance. Projected gradient descent on least squares then finds nonnegative document rates whose expected tokens by
 domain match the targets: rate <- max(0, rate - sum over domains of step x posterior), where the steps are the residuals
 over the Gram matrix of the posteriors of documents with a rate above 0. Documents with the
-same posterior (rounded to `grid` steps) have the same rate, so each round sums over a table of such cells, whose number
-is bounded by the grid, and sends one number for each domain and pair of domains to the driver.
+same posterior (rounded to `grid` steps) have the same rate, so the rounds run over a table of such cells on the driver;
+their number is bounded by the grid (20,301 for three domains and 200 steps), whatever the input.
 """
 
 from __future__ import annotations
@@ -116,17 +116,15 @@ def mixed_rates(
     rows = rows.select("doc_id", *["row"][: len(row)], "t", F.size("b").cast("long").alias("n_tokens"), F.transform(F.array(F.array_distinct("b")), lambda b: model.posterior(b))[0].alias("p"))
     cell = F.transform("p", lambda x: F.round(x * grid) / grid)
     rows = saved(rows.withColumn("p", cell))
-    cells = saved(rows.groupBy("p").agg(F.sum("n_tokens").alias("n")))
-
-    k = range(len(names))
+    cells = rows.groupBy("p").agg(F.sum("n_tokens").alias("n")).collect()  # bounded by the grid
+    at, tokens = np.array([r["p"] for r in cells], float).reshape(-1, len(names)), np.array([r["n"] for r in cells], float)
 
     def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """Expected tokens of every domain, and the Gram matrix of the cells with a rate above 0."""
-        w = cells.select("p", "n", _rate(F.col("p"), steps).alias("rate"))
-        own = [F.sum(F.col("n") * F.col("rate") * F.col("p")[i]) for i in k]
-        gram = [F.sum(F.when(F.col("rate") > 0, F.col("n") * F.col("p")[i] * F.col("p")[j])) for i in k for j in k]
-        got = np.array([float(x or 0.0) for x in w.agg(*[c.alias(f"s{i}") for i, c in enumerate(own + gram)]).first()])
-        return got[: len(k)], got[len(k) :].reshape(len(k), len(k))
+        rate = np.ones(len(at))
+        for step in steps:
+            rate = np.maximum(0.0, rate - at @ np.array(step))
+        return at.T @ (tokens * rate), at.T @ (at * (tokens * (rate > 0))[:, None])
 
     now, gram = sums([])
     weight = np.array([max(0.0, targets.get(x, 0.0)) for x in names])
