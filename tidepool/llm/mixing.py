@@ -134,16 +134,23 @@ def mixed_rates(
         held = names.index(keep) if keep in names else int(weight.argmax())
         goal = weight * (total if total is not None else now[held] / weight[held])
         size = np.maximum(np.where(goal > 0, goal, now), 1.0)
+        first = np.maximum(now, 1.0)
         for _ in range(rounds):
             off = now - goal
             if max(abs(off) / size) < tolerance:
                 break
-            steps.append([float(x) for x in np.linalg.lstsq(gram, off)[0]])
-            now, gram = sums(steps)
-        else:
-            off = (now - goal) / size
-            if max(abs(off)) >= tolerance:
-                warnings.warn(f"mixing: off the goals after {rounds} rounds by {dict(zip(names, off.round(4).tolist()))}", stacklevel=2)
+            # the Gram step, else the plain one, halved until the residual falls: no round makes it worse
+            for step in (x * 0.5**h for x in (np.linalg.lstsq(gram, off)[0], 0.9 * off / first) for h in range(12)):
+                then = sums([*steps, step.tolist()])
+                if np.linalg.norm((then[0] - goal) / size) < np.linalg.norm(off / size):
+                    steps.append(step.tolist())
+                    now, gram = then
+                    break
+            else:
+                break
+        off = (now - goal) / size
+        if max(abs(off)) >= tolerance:
+            warnings.warn(f"mixing: off the goals after {len(steps)} steps by {dict(zip(names, off.round(4).tolist()))}", stacklevel=2)
     rate = _rate(F.col("p"), steps)
     out = rows.withColumn("rate", rate).withColumn("draw", F.pmod(F.xxhash64("doc_id", "t", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30))
     copies = F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("long")
