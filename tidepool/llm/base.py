@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidepool-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -54,6 +57,25 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def filled_slots(slots: DataFrame, n: int) -> np.ndarray:
+    """A bitmap of n slots, in words of 32 bits, with those of slots(s: int) filled. n bounds what reaches the driver."""
+    words = slots.groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits")).toArrow()
+    filled = np.zeros(n // 32, np.uint32)
+    filled[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return filled
+
+
+def may_be_in(wanted: DataFrame, key: Column, n: int = 1 << 24) -> Column:
+    """Whether a key (long) may be among wanted(key); of those that are, none is denied. A bitmap of n bits goes to every task."""
+    shared = wanted.sparkSession.sparkContext.broadcast(filled_slots(wanted.select(F.pmod("key", F.lit(n)).cast("int").alias("s")), n))
+
+    def test(keys: pd.Series) -> pd.Series:
+        slot = keys.to_numpy(np.int64) % n
+        return pd.Series((shared.value[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool))
+
+    return mapped(test, "boolean", key)
+
+
 def split_of(id_col: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts. A null id is in part 0."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts, F.lit(0))

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.base import mapped, saved
+from tidepool.llm.base import filled_slots, mapped, may_be_in, saved
 
 KINDS = ("email", "ip", "card", "phone")
 LEARNED = ("generalise", "remove")
@@ -105,11 +105,8 @@ def _passing(terms: set[str], filled: np.ndarray) -> set[str]:
 def _filter(wanted: DataFrame) -> Broadcast:
     """Of SLOTS slots, those that wanted(term) fill; its size is fixed."""
     h = F.xxhash64("term")
-    slot = wanted.select(F.explode(F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for k in SHIFTS])).alias("s"))
-    bits = slot.groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 31)")).alias("bits"))
-    filled = np.zeros(SLOTS // 32, np.uint32)
-    for r in bits.collect():  # SLOTS / 32 rows at most
-        filled[r["word"]] = r["bits"]
+    slots = wanted.select(F.explode(F.array(*[F.shiftrightunsigned(h, k).bitwiseAND(F.lit(SLOTS - 1)).cast("int") for k in SHIFTS])).alias("s"))
+    filled = filled_slots(slots, SLOTS)
     return wanted.sparkSession.sparkContext.broadcast(np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool))
 
 
@@ -215,31 +212,40 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _replaced(text: str | None, learned: list[tuple[str, int, int]]) -> str | None:
+    """text with its base spans and the learned ones replaced by their marks; of overlapping spans, the first and longest whole."""
+    spans = base_spans(text) + learned if text else []
+    if not spans:
+        return text
+    parts, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+        if a >= at:
+            parts += [text[at:a], MARKS[kind]]
+        at = max(at, b)
+    return "".join(parts) + text[at:]
+
+
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """docs with the same columns, spans of its texts replaced by marks of their kind (removed terms by nothing), and n_chars, if there, recounted.
 
-    Of overlapping spans, the first and longest is replaced whole. Null texts stay null.
+    Of overlapping spans, the first and longest is replaced whole. Null texts stay null. Base spans are found again in
+    place; only texts with learned spans go through an exchange, to meet them.
     """
-    spans = personal_data(docs, id_col, text_col, **options).select("t", F.concat("base", "learned").alias("__tp_spans")).where(F.size("__tp_spans") > 0)
-    spans = spans.groupBy("t").agg(F.first("__tp_spans").alias("__tp_spans")).withColumnRenamed("t", "__tp_t")
-
-    def replace(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(texts, found):
-            if text is not None and own is not None and len(own):
-                parts, at = [], 0
-                for a, b, kind in sorted(((s["start"], s["end"], s["kind"]) for s in own), key=lambda s: (s[0], -s[1], s[2])):
-                    if a >= at:
-                        parts += [text[at:a], MARKS[kind]]
-                    at = max(at, b)
-                text = "".join(parts) + text[at:]
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
-    text = F.col(text_col)
-    joined = docs.withColumn("__tp_h", F.xxhash64(text.cast("string"))).join(spans, F.col("__tp_h") == F.col("__tp_t"), "left")
-    new = F.when(F.col("__tp_spans").isNull(), text).otherwise(mapped(replace, "string", text, F.col("__tp_spans")))
-    out = joined.withColumn(text_col, new)
+    learned = personal_data(docs, id_col, text_col, **options).where(F.size("learned") > 0).select(F.col("t").alias("__tp_t"), F.col("learned").alias("__tp_learned"))
+    learned = saved(learned.dropDuplicates(["__tp_t"]))
+
+    def replace(texts: pd.Series) -> pd.Series:
+        return pd.Series([_replaced(text, []) for text in texts], dtype=object)
+
+    def replace_all(texts: pd.Series, found: pd.Series) -> pd.Series:
+        own = ([] if spans is None else [(s["kind"], s["start"], s["end"]) for s in spans] for spans in found)
+        return pd.Series([_replaced(text, spans) for text, spans in zip(texts, own)], dtype=object)
+
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumn("__tp_t", F.xxhash64(F.coalesce(text, F.lit(""))))
+    may = may_be_in(learned.select(F.col("__tp_t").alias("key")), F.col("__tp_t"))
+    met = keyed.where(may).join(learned.hint("merge"), "__tp_t", "left").withColumn(text_col, mapped(replace_all, "string", text, F.col("__tp_learned")))
+    out = keyed.where(~may).withColumn(text_col, mapped(replace, "string", text)).select(*docs.columns).unionByName(met.select(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text_col).isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
