@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows but those whose 5-word shingles have a similarity of 0.8 or more, held exactly, to a kept row of a smaller id."""
-    return simhash.deduplicated_exactly(docs)
+    """All rows but those whose 5-word shingles have a similarity (cosine) of 0.8 or more, held exactly, to a kept row of a smaller id."""
+    return simhash.deduplicated(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
