@@ -1,8 +1,9 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Every component x becomes the integer term impact floor(256 x). Vectors in order of id are cut into document-range
-blocks, each with the largest and smallest impact of every term and a forward index (the block's own vectors, term by
-term). For a query, a block's bound is the sum over terms of the most that the term can add. Blocks are taken in
+Every component x becomes the integer term impact floor(256 x). Vectors in order of their nearest centre, then of id, are
+cut into document-range blocks, each with the largest and smallest impact of every term and a forward index (the block's
+own vectors, term by term). Centres come from a bounded sample; they only order the rows, so that a block holds like
+vectors and its bounds are close. For a query, a block's bound is the sum over terms of the most that the term can add. Blocks are taken in
 order of their bounds and scored whole from their forward indexes, until the bounds fall below the query's kth score.
 Chunks of queries meet shards of blocks by the number of the shard's partition, so no task holds all of either; each
 gives its k best for each query, and these are ranked together.
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.base import saved
+from tidepool.llm.base import mapped, saved
 
 _SHARD = "part int, dim int, lo array<long>, n array<int>, ids binary, impacts binary, high binary, low binary"
 
@@ -64,6 +65,42 @@ def _pack(block_rows: int, shard_rows: int):
     return pack
 
 
+def centres(rows: DataFrame, n: int, sample: int = 4096, number: int = 64, rounds: int = 5) -> dict[int, np.ndarray]:
+    """For each length of vector that about `sample` of the n rows have, up to `number` centres by k-means."""
+    share = min(1.0, sample / max(1, n))
+    some = rows.where((F.col("dim") > 0) & (F.pmod(F.xxhash64("id", F.lit("centre")), F.lit(1_000_000)) < share * 1_000_000)).select("id", "dim", "v").orderBy("id", "v").collect()
+    found = {}
+    for dim in {r["dim"] for r in some}:
+        x = np.array([r["v"] for r in some if r["dim"] == dim], np.float64)
+        at = x[:: max(1, len(x) // number)][:number].copy()
+        for _ in range(rounds):
+            own = nearest(x, at)
+            for j in np.unique(own):
+                at[j] = x[own == j].mean(axis=0)
+        found[dim] = at
+    return found
+
+
+def nearest(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The number of the nearest centre for each row."""
+    return np.argmax(x @ at.T - 0.5 * (at * at).sum(axis=1), axis=1)
+
+
+def _celled(rows: DataFrame, at: dict[int, np.ndarray]) -> DataFrame:
+    """rows with `cell`, the number of the nearest centre."""
+
+    def cell(v: pd.Series) -> pd.Series:
+        out = np.zeros(len(v), np.int32)
+        dims = v.map(len).to_numpy()
+        for dim in np.unique(dims):
+            if dim in at:
+                own = np.flatnonzero(dims == dim)
+                out[own] = nearest(np.array(v.iloc[own].tolist(), np.float64), at[dim])
+        return pd.Series(out)
+
+    return rows.withColumn("cell", mapped(cell, "int", F.col("v")))
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T of integers, exact: in doubles where no partial sum can pass 2^53."""
     most = a.shape[1] * int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0))
@@ -116,10 +153,11 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = 5, id_col
     vectors score 0 among themselves. An empty table gives no rows; extra columns are ignored.
     """
     rows = impacts(vectors, id_col, vector_col)
-    parts = max(1, -(-rows.count() // shard_rows))
-    ordered = rows.repartitionByRange(parts, "dim", "id").sortWithinPartitions("dim", "id", "v")
+    n = rows.count()
+    parts = max(1, -(-n // shard_rows))
+    ordered = _celled(rows, centres(rows, n)).repartitionByRange(parts, "dim", "cell", "id").sortWithinPartitions("dim", "cell", "id", "v")
     shards = saved(ordered.mapInPandas(_pack(block_rows, shard_rows), _SHARD))
-    asked = rows.where(is_query if is_query is not None else F.col("id") % 50 == 0).dropDuplicates(["id", "v"])
+    asked = rows.where(is_query if is_query is not None else F.col("id") % 50 == 0).dropDuplicates(["id", "v"]).withColumn("number", F.xxhash64("v"))
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,13 +165,14 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = 5, id_col
                 for at in range(0, len(own), chunk):
                     x = own.iloc[at : at + chunk]
                     v = np.array(x["v"].tolist(), np.int64).reshape(len(x), dim)
-                    yield pd.DataFrame([(dim, x["id"].to_numpy(np.int64).tobytes(), v.tobytes())], columns=["dim", "qids", "q"])
+                    number = x["number"].to_numpy(np.int64)
+                    yield pd.DataFrame([(dim, x["id"].to_numpy(np.int64).tobytes(), number.tobytes(), v.tobytes())], columns=["dim", "qids", "numbers", "q"])
 
     few = max(1, -(-asked.count() // chunk))
-    asked = saved(asked.repartition(few).mapInPandas(chunks, "dim int, qids binary, q binary"))
+    asked = saved(asked.repartition(few).mapInPandas(chunks, "dim int, qids binary, numbers binary, q binary"))
     last = shards.agg(F.max("part")).first()[0] or 0
     pairs = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last))))
-    pairs = pairs.join(shards, ["part", "dim"]).select("dim", "qids", "q", "n", "ids", "impacts", "high", "low")
+    pairs = pairs.join(shards, ["part", "dim"]).select("dim", "qids", "numbers", "q", "n", "ids", "impacts", "high", "low")
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,8 +181,8 @@ def top_k(vectors: DataFrame, is_query: Column | None = None, k: int = 5, id_col
                 q = np.frombuffer(r.q, np.int64).reshape(len(qids), r.dim)
                 high, low = (np.frombuffer(x, np.int64).reshape(len(sizes), r.dim) for x in (r.high, r.low))
                 w, i, s, _ = best_of_shard(qids, q, ids, _wide(r.impacts, len(ids), r.dim), sizes, high, low, k)
-                yield pd.DataFrame({"query_id": qids[w], "q": [q[j].tobytes() for j in w], "vec_id": i, "score": s})
+                yield pd.DataFrame({"query_id": qids[w], "q": np.frombuffer(r.numbers, np.int64)[w], "vec_id": i, "score": s})
 
-    found = pairs.mapInPandas(best, "query_id long, q binary, vec_id long, score long")
+    found = pairs.mapInPandas(best, "query_id long, q long, vec_id long, score long")
     rank = "row_number() over (partition by query_id, q order by score desc, vec_id)"
-    return found.select("query_id", F.xxhash64("q").alias("q"), "vec_id", "score").withColumn("rank", F.expr(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.expr(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
