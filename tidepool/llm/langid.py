@@ -25,16 +25,22 @@ SCALE = 20.0
 _MULTIPLIERS = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 
 
+def gram_pieces(text: str, size: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of one text, repeats included: at a time those that start at `size` places. Each comes once."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    for at in range(0, len(points), size):
+        part, found = points[at : at + size + len(_MULTIPLIERS) - 1], []
+        mix = np.zeros(len(part), np.uint32)
+        for n, multiplier in enumerate(_MULTIPLIERS):
+            mix = (mix[: len(part) - n] ^ part[n:]) * multiplier
+            mix ^= mix >> np.uint32(15)
+            found.append(mix[:size] >> np.uint32(16))
+        yield np.concatenate(found)
+
+
 def grams(text: str) -> np.ndarray:
     """Buckets of all n-grams of one text, repeats included."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    found, mix = [], np.zeros(len(points), np.uint32)
-    for n, multiplier in enumerate(_MULTIPLIERS):
-        mix = mix[: len(points) - n] if n == 0 else mix[:-1]
-        mix = (mix ^ points[n:]) * multiplier
-        mix ^= mix >> np.uint32(15)
-        found.append(mix >> np.uint32(16))
-    return np.concatenate(found)
+    return np.concatenate(list(gram_pieces(text)))
 
 
 def has_letter(text: str | None) -> bool:
@@ -54,8 +60,7 @@ class Model:
         if not self.labels or not has_letter(text):
             return UNKNOWN, 0.0
         total, n = np.zeros(len(self.labels)), 0
-        for at in range(0, len(text), 65536):  # bounded memory; pieces share two characters so that no n-gram is lost
-            some = grams(text[max(0, at - 2) : at + 65536])
+        for some in gram_pieces(text):
             total += self.weights[some].sum(axis=0, dtype=np.float64)
             n += len(some)
         p = _softmax((total / n + self.bias) / self.temperature)

@@ -77,23 +77,24 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w"))
+    # rows that repeat id and text meet by partitions of the input, so that no task gets all of very many
+    rows = rows.select("doc_id", F.xxhash64("text").alias("t"), F.spark_partition_id().alias("origin"), words(F.col("text")).alias("w"))
     pairs = F.transform("w", lambda w, i: F.struct(F.xxhash64(w, F.get(F.col("w"), i + 1)).alias("h"), i.alias("at")))
     known = _templates(spark, base, templates)
     pairs = F.filter(pairs, _may_join([r["h"] for r in known.select("h").distinct().collect()]))  # a row for each pair of the templates
     count = F.array(F.struct(F.lit(_END).cast("long").alias("h"), F.size("w").alias("at")))
-    hits = rows.select("doc_id", "t", F.explode(F.concat(count, pairs)).alias("g")).select("doc_id", "t", "g.h", "g.at")
+    hits = rows.select("doc_id", "t", "origin", F.explode(F.concat(count, pairs)).alias("g")).select("doc_id", "t", "origin", "g.h", "g.at")
     hits = hits.join(F.broadcast(known), "h")  # the templates given, whatever the corpus
     hits = hits.withColumn("diagonal", F.when(F.col("template") >= 0, F.col("at") - F.col("place")).otherwise(F.col("at")))
-    # one exchange serves all that follows: every grouping and window below is within (doc_id, t)
-    hits = hits.select("doc_id", "t", "template", "place", "pairs", "label", "base", "diagonal").repartition("doc_id", "t")
-    lines = hits.groupBy("doc_id", "t", "template", "pairs", "label", "base", "diagonal").agg(
+    # one exchange serves all that follows: every grouping and window below is within (doc_id, t, origin)
+    hits = hits.select("doc_id", "t", "origin", "template", "place", "pairs", "label", "base", "diagonal").repartition("doc_id", "t", "origin")
+    lines = hits.groupBy("doc_id", "t", "origin", "template", "pairs", "label", "base", "diagonal").agg(
         F.count("*").alias("rows"), F.collect_set("place").alias("places")  # rows: for the counting row, how many documents are alike
     ).withColumn("votes", F.size("places"))
-    near = Window.partitionBy("doc_id", "t", "template").orderBy("diagonal")
+    near = Window.partitionBy("doc_id", "t", "origin", "template").orderBy("diagonal")
     lines = lines.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(near) > drift).cast("int"))
     lines = lines.withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(near))
-    spans = lines.groupBy("doc_id", "t", "template", "pairs", "label", "base", "span").agg(
+    spans = lines.groupBy("doc_id", "t", "origin", "template", "pairs", "label", "base", "span").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("held"),
         F.count_if(F.expr("base and votes = pairs")).alias("whole"),
         F.min(F.expr("if(base and votes = pairs, diagonal, null)")).alias("first"),
@@ -102,7 +103,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.max("rows").alias("rows"),
     )
     named = spans.withColumn("share", F.when(F.col("pairs") > 0, F.col("held") / F.col("pairs")))
-    out = named.groupBy("doc_id", "t").agg(
+    out = named.groupBy("doc_id", "t", "origin").agg(
         F.max(F.expr("if(template < 0, n_words, null)")).cast("long").alias("n_words"),
         F.sum("whole").alias("n_base"),
         F.min("first").cast("long").alias("first_word"),

@@ -61,25 +61,32 @@ def merkle_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts count as empty. Rows with the same id follow one another in order of their texts, and null ids come first.
     An empty table gives no rows; extra columns are ignored. Ids must be whole numbers.
 
-    Documents are dealt to buckets by quantiles of the id, each bucket's last document finds the next one's first in its
-    own bucket, and so texts are shuffled once and no task holds more than a bucket.
+    Documents are dealt to buckets by quantiles of the id, and further by the id's place between two of them where
+    there are more than most_buckets; each bucket's last document finds the next one's first in its own bucket, and so
+    texts are shuffled once and no task holds more than a bucket. Only numbers of each bucket meet in one place.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     n = rows.select("doc_id").count()
     k = min(most_buckets, n // bucket_rows + 1)
+    within = -(-n // (k * bucket_rows)) if k == most_buckets else 1
     cuts = []
     if k > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k)).first()[0]  # at most most_buckets numbers
-        cuts = sorted(set(found or []))
-    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+        found = rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 20 * k), F.min("doc_id"), F.max("doc_id")).first()  # at most most_buckets numbers
+        cuts, ends = sorted(set(found[0] or [])), found[1:]
+    bucket = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("doc_id"))), F.lit(0)).cast("long") if cuts else F.lit(0).cast("long")
+    if cuts and within > 1:
+        low, high = (F.element_at(F.array(*[F.lit(c).cast("double") for c in some]), (bucket + 1).cast("int")) for some in ([ends[0], *cuts], [*cuts, ends[1]]))
+        place = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1.0)) * within)
+        bucket = bucket * within + F.greatest(F.lit(0), F.least(F.lit(within - 1), place))
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket))
-    # a row for each bucket (at most most_buckets): its first document, sent to the bucket before, and the very first to the last
+    # a row for each bucket: its first document, sent to the bucket before, and the very first to the last
     least = rows.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"))
-    least = least.select(F.col("bucket").alias("b"), F.col("least.doc_id").alias("d"))
-    firsts = rows.join(F.broadcast(least), F.expr("bucket = b and doc_id <=> d")).groupBy("bucket").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    around = Window.partitionBy(F.lit(1)).orderBy("bucket")
-    before = F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    firsts = firsts.select("doc_id", "text", before.alias("bucket"), F.lit(1).alias("guest"))
+    around = Window.partitionBy(F.lit(1)).orderBy("b")
+    before = F.coalesce(F.lag("b").over(around), F.max("b").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    least = least.select(F.col("bucket").alias("b"), F.col("least.doc_id").alias("d")).select("b", "d", before.alias("before"))
+    least = F.broadcast(least) if k * within <= 100_000 else least
+    firsts = rows.join(least, F.expr("bucket = b and doc_id <=> d")).groupBy("before").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    firsts = firsts.select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("guest"))
     both = rows.withColumn("guest", F.lit(0)).unionByName(firsts).withColumn("leaf", leaves(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     both = both.withColumn("next", F.lead(F.struct("text", "leaf")).over(order)).where("guest = 0")

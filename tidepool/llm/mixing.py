@@ -126,8 +126,8 @@ def learn(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     return Domains(names, (start + more - more.max()).tolist(), weights)
 
 
-def fitted_rates(at: np.ndarray, tokens: np.ndarray, goal: np.ndarray, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates of the cells, relative residuals of the domains) by accelerated projected gradient from rates of 1.
+def fitted_rates(at: np.ndarray, tokens: np.ndarray, goal: np.ndarray, rounds: int, tolerance: float, most: float = math.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(rates of the cells, relative residuals of the domains) by accelerated projected gradient from rates of 1, held within 0 and most.
 
     at: a row of posteriors for each cell; tokens: of its documents. The residual of a domain is over its goal, or over its
     present tokens where that is 0. The rounds end when all are below tolerance.
@@ -140,7 +140,7 @@ def fitted_rates(at: np.ndarray, tokens: np.ndarray, goal: np.ndarray, rounds: i
     for _ in range(rounds):
         if np.abs(off).max() < tolerance:
             break
-        new = np.maximum(0.0, ahead - step * (own @ (own.T @ (tokens * ahead) - goal / size)))
+        new = np.clip(ahead - step * (own @ (own.T @ (tokens * ahead) - goal / size)), 0.0, most)
         if (ahead - new) @ (tokens * (new - rate)) > 0:  # past the valley: start to gather speed anew
             pace = 1.0
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
@@ -151,7 +151,7 @@ def fitted_rates(at: np.ndarray, tokens: np.ndarray, goal: np.ndarray, rounds: i
 
 def mixed_rates(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain",
-    keep: str | None = None, total: float | None = None, per_domain: int = 2000, buckets: int = 1 << 15, grid: int = 200, rounds: int = 20_000, tolerance: float = 2e-3, most_cells: int = 200_000, with_rows: bool = False,
+    keep: str | None = None, total: float | None = None, most: float = 4.0, per_domain: int = 2000, buckets: int = 1 << 15, grid: int = 200, rounds: int = 20_000, tolerance: float = 2e-3, most_cells: int = 200_000, with_rows: bool = False,
 ) -> DataFrame:
     """(doc_id, n_tokens, posterior (map of domain to share), rate, copies) for every row of docs; with_rows: and `row`, a struct of docs' columns.
 
@@ -162,7 +162,8 @@ def mixed_rates(
     so equal rows get equal copies. Null texts have no tokens, and what is known without any feature as posterior. Null ids stay; an empty table
     gives no rows; without labelled documents all belong to one domain and keep rate 1. Other columns are dropped.
     The rounds end when every domain's expected tokens are within `tolerance` of its goal (of its present tokens, for a
-    goal of 0); where `rounds` do not get there, as for a domain that no text belongs to, a warning gives the residuals.
+    goal of 0). No rate is above `most`, as more repeats of a text teach little; a domain too small for its target then
+    stays below it. Where the goals are not met, a warning gives the residuals.
     With many domains the grid is coarser, so that it has most_cells at most.
     """
     model = learn(docs, labelled, id_col, text_col, domain_col, per_domain, buckets)
@@ -181,7 +182,7 @@ def mixed_rates(
     if weight.sum() > 0 and now.sum() > 0:
         weight /= weight.sum()
         held = names.index(keep) if keep in names else int(weight.argmax())
-        rates, off = fitted_rates(at, tokens, weight * (total if total is not None else now[held] / weight[held]), rounds, tolerance)
+        rates, off = fitted_rates(at, tokens, weight * (total if total is not None else now[held] / weight[held]), rounds, tolerance, most)
         if np.abs(off).max() >= tolerance:
             warnings.warn(f"mixing: off the goals by {dict(zip(names, off.round(4).tolist()))}", stacklevel=2)
     known = docs.sparkSession.createDataFrame([(r["p"], float(x)) for r, x in zip(cells, rates)], "p array<double>, rate double")

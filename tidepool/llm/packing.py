@@ -3,7 +3,7 @@
 A document of n tokens is cut into pieces of the whole sequence length and one remainder. How many pieces have each
 length is a histogram of bounded size. Over it, a linear program chooses patterns (multisets of lengths that fit a
 sequence) at least padded size; a knapsack dynamic program on the dual prices finds the columns. Patterns are rounded
-down; what is left over is filled largest first, each time with the subset of lengths that wastes least. Pieces, ranked
+down; what is left over is filled largest first, each time with the longest piece that still fits. Pieces, ranked
 within their length, are then dealt to the patterns by arithmetic on their ranks, without meeting in one place.
 """
 
@@ -237,12 +237,13 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, size: int =
     most `size` tokens and are filled from 0 without gaps. Rows with equal or null ids are documents of their own. An
     empty table gives no rows; extra columns are ignored. tokenizer and ranks are paths that every executor can open.
     """
-    cut = saved(pieces(docs, tokenizer, ranks, size, id_col, text_col))
+    # the input's partition parts rows that repeat id, place and checksum
+    cut = saved(pieces(docs, tokenizer, ranks, size, id_col, text_col).withColumn("part", F.spark_partition_id()))
     demand = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # size rows at most
     deal = docs.sparkSession.sparkContext.broadcast(Deal(plan(demand, size)))
     # ranks within a length: a frequent length is split into salts of about rank_rows, whose counts give each its first rank
     by_length = F.split(F.lit(",".join(str(demand.get(x, 0) // rank_rows + 1) for x in range(size + 1))), ",").cast("array<bigint>")
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.get(by_length, F.col("length").cast("int"))))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "part"), F.get(by_length, F.col("length").cast("int"))))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -38,7 +38,7 @@ _PLAIN = np.isin(np.arange(1 << 16), [ord(c) for c in ".,;:'\"-()?"])
 
 def _shares(text: str) -> list[float]:
     n = len(text)
-    count, odd, runs, shouts = np.zeros(5), 0, 0, 0
+    count, odd, runs, shouts, last = np.zeros(5), 0, 0, 0, -1
     for at in range(0, n, 1 << 16):
         points = np.frombuffer(text[at : at + (1 << 16)].encode("utf-32-le", "surrogatepass"), np.uint32)
         points = np.minimum(points, 0xFFFF)
@@ -46,7 +46,8 @@ def _shares(text: str) -> list[float]:
         count += np.bincount(kind, minlength=5)[:5]
         strange = (kind == _SYMBOL) & ~_PLAIN[points]
         odd += int(strange.sum())
-        runs += int((strange[1:] & (points[1:] == points[:-1])).sum())
+        runs += int((strange[1:] & (points[1:] == points[:-1])).sum()) + int(strange[0] and points[0] == last)
+        last = int(points[-1])
         shouts += int((points == 33).sum())
     letters = count[_UPPER] + count[_LETTER]
     return [count[_SYMBOL] / n, odd / n, runs / n, shouts / n, count[_DIGIT] / n, count[_SPACE] / n, count[_UPPER] / letters if letters else 0.0]
@@ -61,14 +62,14 @@ def features(text: str | None) -> list[float]:
     share = _shares(text)
     same = sum(map(str.__eq__, words, words[1:])) / n
     often = Counter(words)
-    top = sum(c for _, c in often.most_common(3)) / n
+    top = sum(c for _, c in often.most_common(3)) / (n + 20)  # a few words tell little
     varied = len(often) / n ** 0.8
     ends = sum(w[-1] in ".!?" for w in words) / n
     lone = sum(len(w) == 1 and not w.isalnum() for w in words) / n
     lines = [x for x in text.split("\n") if x]
     kept = len(set(lines)) / len(lines) if lines else 1.0
     chars = sum(map(len, words)) / n
-    return [*share, *(math.sqrt(x) for x in share[1:5]), same, math.sqrt(same), top if n > 20 else 0.0, min(varied, 2.0), ends, lone, math.sqrt(lone), 1 - kept, math.log1p(n) / 10, min(chars, 40.0) / 10, max(0.0, chars - 8) / 10]
+    return [*share, *(math.sqrt(x) for x in share[1:5]), same, math.sqrt(same), top, min(varied, 2.0), ends, lone, math.sqrt(lone), 1 - kept, math.log1p(n) / 10, min(chars, 40.0) / 10, max(0.0, chars - 8) / 10]
 
 
 N_FEATURES = 22
