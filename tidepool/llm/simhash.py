@@ -385,11 +385,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def measure(texts: pd.Series) -> pd.DataFrame:
-        words = [words_of(t) for t in texts]
-        sets = [shingle_set(w) for w in words]
-        prints = np.array([long_fingerprint_of(x) for x in sets], np.uint64).reshape(-1, 4).view(np.int64)
-        node = np.array([xxhash.xxh3_64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": node, **{c: prints[:, i] for i, c in enumerate(_ROW[:4])}, "n": [len(x) for x in sets]})
+        node, prints, n = np.zeros(len(texts), np.uint64), np.zeros((len(texts), 4), np.uint64), np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):  # the words of one text at a time
+            words = words_of(text)
+            own = shingle_set(words)
+            node[i], prints[i], n[i] = xxhash.xxh3_64_intdigest(b" ".join(words)), long_fingerprint_of(own), len(own)
+        return pd.DataFrame({"node": node.view(np.int64), **{c: prints[:, k].view(np.int64) for k, c in enumerate(_ROW[:4])}, "n": n})
 
     def sets(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(words_of(t)).view(np.int64) for t in texts], dtype=object)
