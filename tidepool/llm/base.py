@@ -13,8 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 
+def small_batches(rows: int = 1000) -> None:
+    """Texts are long: the session's Arrow batches get `rows` rows at most, so that a worker's memory is bounded by that many."""
+    spark, key = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def mapped(fn: Callable[..., pd.DataFrame | pd.Series], kind: str, *columns: Column) -> Column:
     """The column that fn makes of batches of columns (pandas Series). Only these columns go to Python, so ids keep their type and nulls."""
+    small_batches()
 
     def batches(some: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for given in some:
@@ -65,15 +73,15 @@ def filled_slots(slots: DataFrame, n: int) -> np.ndarray:
     return filled
 
 
-def may_be_in(wanted: DataFrame, key: Column, n: int = 1 << 24) -> Column:
-    """Whether a key (long) may be among wanted(key); of those that are, none is denied. A bitmap of n bits goes to every task."""
+def may_be_in(wanted: DataFrame, n: int = 1 << 24) -> Callable[[pd.Series], pd.Series]:
+    """A test for mapped() whether keys (long) may be among wanted(key); of those that are, none is denied. A bitmap of n bits goes to every task."""
     shared = wanted.sparkSession.sparkContext.broadcast(filled_slots(wanted.select(F.pmod("key", F.lit(n)).cast("int").alias("s")), n))
 
     def test(keys: pd.Series) -> pd.Series:
         slot = keys.to_numpy(np.int64) % n
         return pd.Series((shared.value[slot >> 5] >> (slot & 31).astype(np.uint32) & np.uint32(1)).astype(bool))
 
-    return mapped(test, "boolean", key)
+    return test
 
 
 def split_of(id_col: Column, parts: int) -> Column:

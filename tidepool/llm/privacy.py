@@ -234,8 +234,12 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     learned = personal_data(docs, id_col, text_col, **options).where(F.size("learned") > 0).select(F.col("t").alias("__tp_t"), F.col("learned").alias("__tp_learned"))
     learned = saved(learned.dropDuplicates(["__tp_t"]))
 
-    def replace(texts: pd.Series) -> pd.Series:
-        return pd.Series([_replaced(text, []) for text in texts], dtype=object)
+    shared = may_be_in(learned.select(F.col("__tp_t").alias("key")))
+
+    def replace(texts: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        """The texts that surely have no learned spans; the others follow after the join."""
+        later = shared(keys)
+        return pd.DataFrame({"later": later, "text": pd.Series([None if w else _replaced(x, []) for x, w in zip(texts, later)], dtype=object)})
 
     def replace_all(texts: pd.Series, found: pd.Series) -> pd.Series:
         own = ([] if spans is None else [(s["kind"], s["start"], s["end"]) for s in spans] for spans in found)
@@ -243,9 +247,10 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     text = F.col(text_col).cast("string")
     keyed = docs.withColumn("__tp_t", F.xxhash64(F.coalesce(text, F.lit(""))))
-    may = may_be_in(learned.select(F.col("__tp_t").alias("key")), F.col("__tp_t"))
-    met = keyed.where(may).join(learned.hint("merge"), "__tp_t", "left").withColumn(text_col, mapped(replace_all, "string", text, F.col("__tp_learned")))
-    out = keyed.where(~may).withColumn(text_col, mapped(replace, "string", text)).select(*docs.columns).unionByName(met.select(*docs.columns))
+    met = keyed.where(mapped(shared, "boolean", F.col("__tp_t"))).join(learned.hint("merge"), "__tp_t", "left")
+    met = met.withColumn(text_col, mapped(replace_all, "string", text, F.col("__tp_learned")))
+    done = keyed.withColumn("__tp_new", mapped(replace, "struct<later: boolean, text: string>", text, F.col("__tp_t"))).where("not __tp_new.later")
+    out = done.withColumn(text_col, F.col("__tp_new.text")).select(*docs.columns).unionByName(met.select(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(text_col).isNotNull(), F.length(text_col)).cast(docs.schema["n_chars"].dataType))
     return out

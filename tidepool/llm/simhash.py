@@ -411,7 +411,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = saved(held.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")))
     # texts of groups alone go through the exchange
     key = F.xxhash64(F.col("low"), F.col("low_t")).alias("key")
-    texts = keyed.where(may_be_in(held.select(key), F.col("__tp_key"))).select(F.col("__tp_id").alias("low"), F.col("__tp_t").alias("low_t"), text.alias("text"))
+    texts = keyed.where(mapped(may_be_in(held.select(key)), "boolean", F.col("__tp_key"))).select(F.col("__tp_id").alias("low"), F.col("__tp_t").alias("low_t"), text.alias("text"))
     texts = texts.join(held.hint("merge"), ["low", "low_t"]).dropDuplicates(["low", "low_t"])
     columns = ["node", "root", "low", "low_t", *_ROW, "salts", "salt", "large"]
     own = saved(texts.select(*columns, mapped(sets, "array<long>", F.col("text")).alias("own")))
@@ -420,7 +420,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select(F.col("id").alias("__tp_id"), F.col("t").alias("__tp_t"), F.expr("gone is null and id = low and t = low_t").alias("__tp_one"), "rows")
     # rows without a decision stay, whether the bitmap spares them the exchange or not
     decided = saved(rows.where("not __tp_one or rows > 1").drop("rows"))
-    may = may_be_in(decided.select(F.xxhash64("__tp_id", "__tp_t").alias("key")), F.col("__tp_key"))
+    may = mapped(may_be_in(decided.select(F.xxhash64("__tp_id", "__tp_t").alias("key"))), "boolean", F.col("__tp_key"))
     met = keyed.where(may).join(decided.hint("merge"), ["__tp_id", "__tp_t"], "left")
     kept = keyed.where(~may).select(*docs.columns)
     kept = kept.unionByName(met.where("__tp_one is null").select(*docs.columns))
