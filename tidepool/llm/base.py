@@ -58,7 +58,7 @@ def saved(df: DataFrame) -> DataFrame:
     The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidepool-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)  # in Java: no native memory beside the heap
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
