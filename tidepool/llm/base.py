@@ -58,7 +58,9 @@ def saved(df: DataFrame) -> DataFrame:
     The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidepool-{uuid.uuid4().hex}"
-    df.write.option("compression", "lz4_raw").parquet(path)  # in Java: no native memory beside the heap
+    # compressed in Java: no native memory beside the heap; on a local file system without .crc files, for each of which and
+    # of its owners Hadoop starts a process to set permissions
+    df.write.options(compression="lz4_raw", **({"fs.file.impl.disable.cache": "true", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem"} if path.startswith("file:") else {})).parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
