@@ -35,7 +35,8 @@ def mapped(fn: Callable[..., pd.DataFrame | pd.Series], kind: str, *columns: Col
     out = pd.DataFrame if kind.startswith("struct") else pd.Series
     f = batches if len(columns) > 1 else batches_of_one
     f.__annotations__ = {"some": Iterator[tuple[pd.Series, ...]] if len(columns) > 1 else Iterator[pd.Series], "return": Iterator[out]}
-    return pandas_udf(f, kind)(*columns)
+    # as nondeterministic, so that the optimiser neither copies it, as into a filter on a field of what it makes, nor infers it for another table
+    return pandas_udf(f, kind).asNondeterministic()(*columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
