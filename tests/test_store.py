@@ -15,6 +15,16 @@ from tidepool.streaming import flows
 def test_digests():
     assert digest.blake3_hex(b"") == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
     assert digest.blake3_hex(b"abc") == "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85"
+    # the published vectors: the bytes 0 to 250, again and again
+    known = {
+        1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213", 1023: "10108970eeda3eb932baac1428c7a2163b0e924c9a9e25b35bba72b28f70bd11",
+        1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7", 1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444",
+        2048: "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a", 2049: "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030",
+        3072: "b98cb0ff3623be03326b373de6b9095218513e64f1ee2edd2525c7ad1e5cffd2", 102400: "bc3e3d41a1146b069abffad3c0d44860cf664390afce4d9661f7902e7943e085",
+    }
+    given = [(bytes(range(251)) * (n // 251 + 1))[:n] for n in known]
+    assert digest.blake3_many(given) == list(known.values())
+    assert [digest.blake3_hex(x) for x in given] == list(known.values())
     assert len({digest.blake3_hex(bytes(n)) for n in (63, 64, 65, 1023, 1024, 1025, 2048, 2049, 5000)}) == 9
 
 
@@ -158,3 +168,65 @@ def test_ingest_commits_batches(spark, sf, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(seen.values()) == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_signing_in_sql_is_that_of_the_standard_library(spark):
+    queries = ["b=2&a=1", "", "a=%2F/+x&a=&b", "é=1&z==", "x=%zz"]
+    df = spark.createDataFrame([(q, f"text {q}") for q in queries], "q string, t string")
+    for key in (b"", b"k", b"x" * 64, b"y" * 100):
+        for r in df.select("t", scalars.hmac_sha256(key, F.col("t")).alias("tag")).collect():
+            assert r.tag == digest.hmac_sha256(key, r.t).hex()
+    scope = ("20240101", "us-east-1", "s3")
+    key = digest.signing_key("secret", *scope)
+    rest = ("host:h\n", "host", "UNSIGNED-PAYLOAD")
+    said = scalars.request_signature(key, "/".join(scope) + "/aws4_request", "20240101T000000Z", F.lit("GET"), F.lit("/p"), F.col("q"), *map(F.lit, rest))
+    for r in df.select("q", scalars.canonical_query(F.col("q")).alias("c"), said.alias("s"), scalars.signed_value("one", F.col("t")).alias("v"), "t").collect():
+        if r.q != "x=%zz":  # not an encoding: taken as it stands
+            assert r.c == digest.canonical_query(r.q)
+            assert r.s == digest.request_signature("secret", "GET", "/p", r.q, *rest, "20240101T000000Z", *scope)
+        assert r.v == digest.signed_value("one", r.t.encode()) and digest.unsigned_value("one", r.v) == r.t.encode()
+
+
+def test_uploads_are_paged(spark):
+    from tidepool.operators import multipart
+
+    uploads = spark.createDataFrame([(i, f"up/{i % 3}") for i in range(10)], "id long, key string")
+    seen, after = [], None
+    while True:
+        page = multipart.uploads_under(uploads, "up/", limit=4, after=after).collect()
+        seen += [(r.key, r.id) for r in page]
+        if not page[-1].truncated:
+            break
+        after = seen[-1]
+    assert seen == sorted((f"up/{i % 3}", i) for i in range(10))
+
+
+def test_writes_of_the_store(spark, sf):
+    store = Store(spark, sf)
+    ns = store.objects.first()["ns"]
+    key = store.objects.where(F.col("ns") == ns).first()["key"]
+    made = store.create_upload(ns, "a/b.txt").first()
+    assert made["status"] == "created" and made["content_type"] == "text/plain" and made["id"] == store.create_upload(ns, "a/b.txt").first()["id"]
+    assert {(r.key, r.existed) for r in store.delete(ns, [key, "nothing"]).collect()} == {(key, True), ("nothing", False)}
+    copy = store.copy("other", f"/{ns}/{key}", "x").first()
+    assert copy["dst"] == "other/x" and copy["hash"]
+    assert store.list("nation_3").collect() == []  # there, and empty
+    for code, call in (("NoSuchBucket", lambda: store.create_upload("nowhere", "k")), ("NoSuchKey", lambda: store.copy(ns, f"{ns}/nothing", "x")), ("InvalidArgument", lambda: store.copy(ns, "x", "x")), ("NoSuchBucket", lambda: store.list("nowhere"))):
+        with pytest.raises(StoreError) as e:
+            call()
+        assert e.value.code == code
+
+
+def test_guides_and_places_against_a_plain_loop(spark):
+    import random
+
+    from tidepool.operators import tree
+
+    rng = random.Random(1)
+    keys = sorted({"/".join(rng.choice("abc1") * rng.randrange(1, 3) for _ in range(rng.randrange(2, 6))) for _ in range(60)})
+    nodes = tree.rows(spark.createDataFrame([(f"r/{k}",) for k in keys], "key string"))
+    placed = tree.positions(nodes, "r/")
+    rows = sorted((r.pos, r.id, r.depth) for r in placed.collect())
+    assert [r[1] for r in rows] == sorted(r.id for r in nodes.collect()) and [r[0] for r in rows] == list(range(len(rows)))
+    want = {(a[1], b[2]) for a in rows for b in rows if b[0] > a[0] and 0 < b[2] < a[2]}
+    assert {(r.id, r.guide) for r in tree.guides(placed).collect()} == want

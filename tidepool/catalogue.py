@@ -40,7 +40,7 @@ CTES = {
     "chk": """select m.upload_id, m.pos, m.part_number, case when m.part_number <= coalesce(lag(m.part_number) over (partition by m.upload_id order by m.pos), 0) then 'not_ascending'
       when p.etag is null then 'not_uploaded' when p.etag <> trim(m.etag, '"') then 'etag_mismatch' else 'ok' end as status from man m left join prt p using (upload_id, part_number)""",
     "ids": """select distinct array_to_string(p[1:d], '/') || case when d < len(p) then '/' else '' end as id, case when d > 1 then array_to_string(p[1:d-1], '/') || '/' end as parent_id,
-      cast(d - 1 as int) as depth, d < len(p) as is_group from (select p, unnest(range(1, len(p) + 1)) as d from (select distinct string_split(key, '/') as p from obj where ns in ('ns-src0', 'ns-src1')))""",
+      cast(d - 1 as int) as depth, d < len(p) as is_group from (select p, unnest(range(1, len(p) + 1)) as d from (select distinct string_split(key, '/') as p from obj))""",
     "tr": "select *, cast(row_number() over (partition by parent_id order by is_group desc, id) - 1 as int) as idx from ids",
     "anc": """select id, array_to_string(p[1:k], '/') || '/' as ancestor, cast(len(p) - k as int) as distance
       from (select id, p, unnest(range(1, len(p))) as k from (select id, string_split(rtrim(id, '/'), '/') as p from ids))""",
@@ -270,17 +270,17 @@ def create_namespace_outcomes(spark, sf_dir):
 _GONE = [("nation_3",), ("nation_24",), ("nowhere",)]
 
 
-@query("nss nobj", f"""select v.name, case when id is null then 'missing' when id in (select namespace_id from nobj where key < '3') then 'not_empty' else 'deleted' end as status
+@query("nss nobj", f"""select v.name, case when id is null then 'missing' when id in (select namespace_id from nobj where size > 6000) then 'not_empty' else 'deleted' end as status
   from {_values('name', _GONE)} left join nss using (name)""")
 def delete_namespace_outcomes(spark, sf_dir):
-    return tenancy.delete_namespace_outcomes(_inline(spark, "name", _GONE), tables.namespaces(spark, sf_dir), tables.nation_objects(spark, sf_dir).where("key < '3'"))
+    return tenancy.delete_namespace_outcomes(_inline(spark, "name", _GONE), tables.namespaces(spark, sf_dir), tables.nation_objects(spark, sf_dir).where("size > 6000"))
 
 
-@query("nss nobj", "select count(*) filter (id not in (select namespace_id from nobj where key < '3')) as deleted, count(*) filter (id in (select namespace_id from nobj where key < '3')) + 1 as failed from nss")
+@query("nss nobj", "select count(*) filter (id not in (select namespace_id from nobj where size > 6000)) as deleted, count(*) filter (id in (select namespace_id from nobj where size > 6000)) + 1 as failed from nss")
 def delete_outcome_counts(spark, sf_dir):
     spaces = tables.namespaces(spark, sf_dir)
     asked = spaces.select("name").unionByName(_inline(spark, "name", [("nowhere",)]))
-    return state.outcome_counts(tenancy.delete_namespace_outcomes(asked, spaces, tables.nation_objects(spark, sf_dir).where("key < '3'")))
+    return state.outcome_counts(tenancy.delete_namespace_outcomes(asked, spaces, tables.nation_objects(spark, sf_dir).where("size > 6000")))
 
 
 _FOUND = [(1, "fresh", "ann@corp.io"), (2, "ASIA", "bob@corp.io"), (3, "fresh", "cy@corp.io"), (4, "other", "cy@corp.io")]
@@ -332,16 +332,16 @@ def authorise(spark, sf_dir):
     return tenancy.authorise(asked, t, tables.members(spark, sf_dir))
 
 
-@query("owned", "select t as tenant_id, hash, exists (select 1 from owned o where o.tenant_id = t and o.hash = d.hash) as visible from (select distinct sha256(text) as hash from documents where doc_id % 10 = 0) d, (values (0::bigint), (1::bigint)) v(t)")
+@query("owned", "select t as tenant_id, hash, exists (select 1 from owned o where o.tenant_id = t and o.hash = d.hash) as visible from (select distinct sha256(text) as hash from documents) d, (values (0::bigint), (1::bigint)) v(t)")
 def blob_visible_in_tenant(spark, sf_dir):
-    asked = tables.load(spark, sf_dir, "documents").where("doc_id % 10 = 0").select(F.sha2("text", 256).alias("hash")).distinct().withColumn("tenant_id", F.explode(F.expr("array(0L, 1L)")))
+    asked = tables.load(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("hash")).distinct().withColumn("tenant_id", F.explode(F.expr("array(0L, 1L)")))
     return tenancy.blob_visible(asked, tables.nation_objects(spark, sf_dir), tables.namespaces(spark, sf_dir))
 
 
 @query("owned", """select d.t as tenant_id, d.hash, o.size, case when o.size is null then 'miss' else 'linked' end as status
-  from (select distinct doc_id % 5 as t, sha256(text) as hash from documents where doc_id % 9 = 0) d left join (select distinct tenant_id, hash, size from owned) o on o.tenant_id = d.t and o.hash = d.hash""")
+  from (select distinct doc_id % 5 as t, sha256(text) as hash from documents) d left join (select distinct tenant_id, hash, size from owned) o on o.tenant_id = d.t and o.hash = d.hash""")
 def link_outcomes(spark, sf_dir):
-    asked = tables.load(spark, sf_dir, "documents").where("doc_id % 9 = 0").select((F.col("doc_id") % 5).alias("tenant_id"), F.sha2("text", 256).alias("hash")).distinct()
+    asked = tables.load(spark, sf_dir, "documents").select((F.col("doc_id") % 5).alias("tenant_id"), F.sha2("text", 256).alias("hash")).distinct()
     o = tables.nation_objects(spark, sf_dir)
     seen = tenancy.stats_inputs(o, tables.namespaces(spark, sf_dir)).select("tenant_id", "hash").distinct()
     return state.links(asked, o.select("hash", "size").distinct(), seen)
@@ -451,12 +451,12 @@ def upload_removed(spark, sf_dir):
     return multipart.removed(tables.uploads(spark, sf_dir), multipart.latest_parts(_part_writes(spark, sf_dir)), gone)[1]
 
 
-@query("ups", "select id, key from ups where starts_with(key, 'up/3/') order by key, id limit 1000")
+@query("ups", "select id, key, (select count(*) from ups where starts_with(key, 'up/3/')) > 1000 as truncated from ups where starts_with(key, 'up/3/') order by key, id limit 1000")
 def uploads_by_prefix(spark, sf_dir):
     return multipart.uploads_under(tables.uploads(spark, sf_dir), "up/3/")
 
 
-@query("ups", "select id, key from ups where key like 'up_3%' order by key, id limit 1000")
+@query("ups", "select id, key, (select count(*) from ups where key like 'up_3%') > 1000 as truncated from ups where key like 'up_3%' order by key, id limit 1000")
 def uploads_by_pattern_compat(spark, sf_dir):
     return multipart.uploads_under(tables.uploads(spark, sf_dir), "up_3", compat=True)
 
@@ -467,7 +467,7 @@ def uploads_by_pattern_compat(spark, sf_dir):
 @query("refs", "select r.hash, o.ts as updated_at from refs r join ops o on o.seq = r.updated_seq where r.refcount = 0 and o.ts < (select max(ts) from ops) - interval 300 second order by 2, 1 limit 1000")
 def gc_candidates(spark, sf_dir):
     ops = tables.operations(spark, sf_dir)
-    dated = state.refcounts(ops).join(ops.select(F.col("seq").alias("updated_seq"), F.col("ts").alias("updated_at")), "updated_seq")
+    dated = state.touched(ops)
     as_of = F.lit(ops.agg(F.max("ts")).first()[0])
     return retention.collectable(dated, as_of).select("hash", "updated_at")
 
@@ -498,7 +498,8 @@ def cascade_delete(spark, sf_dir):
 
 
 _RANGES = [("bytes=0-4", 0, 4, "ok"), ("bytes=5-", 5, 9, "ok"), ("bytes=-3", 7, 9, "ok"), ("bytes=0-99", 0, 9, "ok"), ("bytes=10-", None, None, "invalid"), ("bytes=-0", None, None, "invalid"),
-           ("bytes=0-1,3-4", None, None, "none"), ("bytes=-", None, None, "invalid"), ("bytes=x-1", None, None, "invalid"), ("items=1-2", None, None, "none"), ("bytes=7-3", None, None, "invalid"), ("bytes=-40", 0, 9, "ok")]
+           ("bytes=0-1,3-4", None, None, "none"), ("bytes=-", None, None, "invalid"), ("bytes=x-1", None, None, "invalid"), ("items=1-2", None, None, "none"), ("bytes=7-3", None, None, "invalid"), ("bytes=-40", 0, 9, "ok"),
+           (" bytes=0-4\t", 0, 4, "ok"), ("bytes= 0 - 4 ", 0, 4, "ok"), ("bytes=+1-4", 1, 4, "ok"), ("bytes=1-+4", 1, 4, "ok"), ("bytes=--3", None, None, "invalid"), ("Bytes=0-4", None, None, "none")]
 
 
 @query("", f"select header, status, cast(first as bigint) as first, cast(last as bigint) as last from {_values('header, first, last, status', _RANGES)}")
@@ -533,19 +534,20 @@ def name_validation(spark, sf_dir):
     return _inline(spark, "name", _NAMES).select("name", scalars.valid_name(F.col("name")).alias("valid"))
 
 
-_MAILS = [(" Ann@Example.com ", True), ("bob@corp.io", False), ("no-at", True), (None, True), ("", True), ("x@y@Example.com", True)]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MAILS = [(" Ann@Example.com ", True), ("bob@corp.io", False), ("no-at", True), (None, True), ("", True), ("x@y@Example.com", True), ("x@\u212a.com", True), ("Y@K.com", True), ("\tz@k.com\n", True), ("\u0130@k.com", True)]
 
 
-@query("", f"select email, verified, case when verified then lower(trim(email)) end as normal, coalesce(trim(email) <> '' and contains(email, '@'), false) as plausible from {_values('email, verified', _MAILS)}")
+@query("", f"select email, verified, case when verified then translate(regexp_replace(email, '^\\s+|\\s+$', '', 'g'), '{_UPPER}', '{_LOWER}') end as normal, coalesce(regexp_replace(email, '^\\s+|\\s+$', '', 'g') <> '' and contains(email, '@'), false) as plausible from {_values('email, verified', _MAILS)}")
 def email_normalise(spark, sf_dir):
     e, v = F.col("email"), F.col("verified")
     return _inline(spark, "email, verified", _MAILS).select("email", "verified", scalars.normal_email(e, v).alias("normal"), scalars.plausible_email(e).alias("plausible"))
 
 
-@query("", f"select email, verified, coalesce(verified and (lower(email) in ('bob@corp.io') or lower(regexp_extract(email, '@([^@]*)$', 1)) = 'example.com'), false) as admitted, true as open from {_values('email, verified', _MAILS)}")
+@query("", f"select email, verified, coalesce(verified and (translate(email, '{_UPPER}', '{_LOWER}') in ('bob@corp.io') or translate(regexp_extract(email, '@([^@]*)$', 1), '{_UPPER}', '{_LOWER}') in ('example.com', 'k.com')), false) as admitted, true as open from {_values('email, verified', _MAILS)}")
 def allowlist(spark, sf_dir):
     e, v = F.col("email"), F.col("verified")
-    return _inline(spark, "email, verified", _MAILS).select("email", "verified", scalars.admitted(e, v, ["example.com"], ["bob@corp.io"]).alias("admitted"), scalars.admitted(e, v, [], []).alias("open"))
+    return _inline(spark, "email, verified", _MAILS).select("email", "verified", scalars.admitted(e, v, ["example.com", "K.com"], ["bob@corp.io"]).alias("admitted"), scalars.admitted(e, v, [], []).alias("open"))
 
 
 _SIZES = [(0,), (1,), (1023,), (1024,), (1536,), (1048576,), (5368709120,), (1099511627776,), (1125899906842624,)]
@@ -598,9 +600,9 @@ def path_rules(spark, sf_dir):
     return _inline(spark, "path", [(x[0],) for x in _PATHS]).select("path", scalars.safe_redirect(p).alias("redirect"), scalars.destination(p).alias("destination"))
 
 
-@query("", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as iso, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') as http from events where event_id % 50 = 0")
+@query("", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') as iso, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') as http from events")
 def time_formats(spark, sf_dir):
-    e = tables.load(spark, sf_dir, "events").where("event_id % 50 = 0")
+    e = tables.load(spark, sf_dir, "events")
     return e.select("event_id", scalars.iso_millis(F.col("ts")).alias("iso"), scalars.http_date(F.col("ts")).alias("http"))
 
 
@@ -612,28 +614,46 @@ def part_numbers(spark, sf_dir):
     return _inline(spark, "s", [(x[0],) for x in _PARTS]).select("s", scalars.part_number(F.col("s")).alias("n"))
 
 
-@query()
+# The signing key and the pads of HMAC for the constant keys, as blobs for the oracle.
+_SCOPE = ("20240101", "us-east-1", "s3")
+_SIGNING = digest.signing_key("secret", *_SCOPE)
+
+
+def _hmac_sql(key: bytes, message: str) -> str:
+    inner, outer = (bytes(x ^ pad for x in key.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
+
+
+_REQUEST = "concat_ws(chr(10), 'GET', '/' || page_id, 'a=1&b=2%2F%20' || page_id, 'host:h' || chr(10), 'host', 'UNSIGNED-PAYLOAD')"
+_TO_SIGN = f"concat_ws(chr(10), 'AWS4-HMAC-SHA256', '20240101T000000Z', '{'/'.join(_SCOPE)}/aws4_request', sha256({_REQUEST}))"
+
+
+@query("", f"select page_id, {_hmac_sql(_SIGNING, _TO_SIGN)} as signature from pages")
 def sigv4_signature(spark, sf_dir):
-    given = tables.load(spark, sf_dir, "pages").select("page_id", F.lit("secret").alias("s"), F.lit("GET").alias("m"), F.concat(F.lit("/"), F.col("page_id").cast("string")).alias("p"), F.lit("b=2&a=1").alias("q"))
-    rest = [F.lit(x) for x in ("host:h\n", "host", "UNSIGNED-PAYLOAD", "20240101T000000Z", "20240101", "us-east-1", "s3")]
-    return given.select("page_id", digest.sigv4("s", "m", "p", "q", *rest).alias("signature"))
+    page = F.col("page_id").cast("string")
+    rest = [F.lit(x) for x in ("host:h\n", "host", "UNSIGNED-PAYLOAD")]
+    said = scalars.request_signature(_SIGNING, f"{'/'.join(_SCOPE)}/aws4_request", "20240101T000000Z", F.lit("GET"), F.concat(F.lit("/"), page), F.concat(F.lit("b=2/%20"), page, F.lit("&a=1")), *rest)
+    return tables.load(spark, sf_dir, "pages").select("page_id", said.alias("signature"))
 
 
 @query()
 def blake3_etag(spark, sf_dir):
-    return tables.load(spark, sf_dir, "benchmark").select("item_id", digest.blake3(F.col("text").cast("binary")).alias("digest"))
+    return tables.contents(spark, sf_dir).select("ns", "key", digest.blake3(F.col("content")).alias("digest"))
 
 
-@query()
+_B64 = "replace(replace(rtrim(base64({}), '='), '+', '-'), '/', '_')"
+
+
+@query("", f"select doc_id, {_B64.format('encode(text)')} || '.' || {_B64.format('unhex(' + _hmac_sql(b'secret', 'text') + ')')} as value from documents")
 def cookie_sign(spark, sf_dir):
-    return tables.load(spark, sf_dir, "benchmark").select("item_id", digest.signed(F.lit("secret"), F.col("text")).alias("value"))
+    return tables.load(spark, sf_dir, "documents").select("doc_id", scalars.signed_value("secret", F.col("text")).alias("value"))
 
 
 # -- trees
 
 
 def _nodes(spark, sf_dir):
-    return tree.rows(tables.objects(spark, sf_dir).where("ns in ('ns-src0', 'ns-src1')"))
+    return tree.rows(tables.objects(spark, sf_dir))
 
 
 @query("tr", "select id, parent_id, depth, is_group, idx from tr")
@@ -793,10 +813,10 @@ def scope_list(spark, sf_dir):
     return spark.range(1).select(scalars.scopes(none).alias("by_default"), scalars.scopes(F.array(F.lit("openid"), F.lit("a"))).alias("asked"))
 
 
-@query("", "select page_id, strlen(html) <= 4096 as fits, left(html, 100) as shown, length(html) > 100 as truncated from pages")
+@query("", "select page_id, strlen(html) <= 4096 as fits, sha256(encode(html)[1:101]) as shown, strlen(html) > 101 as truncated from pages")
 def body_limits(spark, sf_dir):
     p = tables.load(spark, sf_dir, "pages")
-    return p.select("page_id", scalars.within_cap(F.col("html"), 4096).alias("fits"), scalars.preview_window(F.col("html"), 100).alias("v")).select("page_id", "fits", "v.*")
+    return p.select("page_id", scalars.within_cap(F.col("html"), 4096).alias("fits"), scalars.preview_window(F.col("html").cast("binary"), 101).alias("v")).select("page_id", "fits", F.sha2("v.shown", 256).alias("shown"), "v.truncated")
 
 
 @query("obj", """select '{"key":"' || key || '","etag":"' || hash || '","size":' || size || '}' as json from obj where ns = 'ns-src3'""")
@@ -841,3 +861,83 @@ def stream_sessions(spark, sf_dir):
 def stream_idle_uploads(spark, sf_dir):
     closed = flows.drained(flows.idle_uploads(flows.log_stream(spark, sf_dir)), "append")
     return closed.select("upload_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n")
+
+
+# -- more of the store
+
+
+@query("ups", "select seq, ns, key, coalesce(kind, 'application/octet-stream') as content_type, case when ns in ('ns-0', 'ns-1', 'ns-2', 'ns-3', 'ns-4') then sha256(seq || '|' || ns || '|' || key) end as id, case when ns in ('ns-0', 'ns-1', 'ns-2', 'ns-3', 'ns-4') then 'created' else 'NoSuchBucket' end as status from (select id as seq, 'ns-' || (id % 7) as ns, key, case when id % 2 = 0 then 'text/plain' end as kind from ups)")
+def create_uploads(spark, sf_dir):
+    kind = F.when(F.col("id") % 2 == 0, "text/plain")
+    asked = tables.uploads(spark, sf_dir).select(F.col("id").alias("seq"), F.concat(F.lit("ns-"), (F.col("id") % 7).cast("string")).alias("ns"), "key", kind.alias("content_type"))
+    return multipart.created(asked, _inline(spark, "name", [(f"ns-{k}",) for k in range(5)]))
+
+
+@query("ups", "select id, 'ns-' || (id % 6) as ns, key, case when id % 6 = id % 5 then 'found' else 'NoSuchUpload' end as status from ups")
+def upload_lookup(spark, sf_dir):
+    u = tables.uploads(spark, sf_dir)
+    return multipart.found(u.select("id", F.concat(F.lit("ns-"), (F.col("id") % 6).cast("string")).alias("ns"), "key"), u)
+
+
+@query("nss nobj", "select id, name, count(key) as objects, coalesce(cast(sum(size) as bigint), 0) as logical, (select count(*) from nss) as namespaces from nss left join (select * from nobj where size > 6000) o on o.namespace_id = nss.id group by 1, 2")
+def namespace_counts(spark, sf_dir):
+    spaces = tables.namespaces(spark, sf_dir)
+    own = tables.nation_objects(spark, sf_dir).where("size > 6000").withColumnRenamed("namespace_id", "id")
+    return stats.by_namespace(spaces, own)
+
+
+@query("ten mem", "select id, name, email, role from ten left join mem on id = tenant_id")
+def tenant_member_lists(spark, sf_dir):
+    return tenancy.member_lists(tables.tenants(spark, sf_dir), tables.members(spark, sf_dir))
+
+
+@query("refs ups prt", """select (select count(*) from (select r.hash from refs r join ops o on o.seq = r.updated_seq where r.refcount = 0 and o.ts < (select max(ts) from ops) - interval 300 second limit 1000)) as blobs,
+  (select count(*) from gone) as uploads, (select count(*) from prt where upload_id in (select id from gone)) as parts
+  from (select 1), (select 1) x where true""".replace("(select count(*) from gone)", "(select count(*) from (select id from ups where created_at < timestamp '2024-01-03' and id not in (select upload_id from prt where created_at >= timestamp '2024-01-03')))").replace("(select id from gone)", "(select id from ups where created_at < timestamp '2024-01-03' and id not in (select upload_id from prt where created_at >= timestamp '2024-01-03'))"))
+def sweep_counts(spark, sf_dir):
+    ops = tables.operations(spark, sf_dir)
+    blobs = retention.collectable(state.touched(ops), F.lit(ops.agg(F.max("ts")).first()[0]))
+    parts = tables.parts(spark, sf_dir)
+    return retention.swept(blobs, retention.abandoned(tables.uploads(spark, sf_dir), parts, F.expr(_AS_OF)), parts)
+
+
+@query("nss mem", "select name, email, cast(case when exists (select 1 from mem m where m.tenant_id = r.tenant_id and m.email = r.email) then 200 else 404 end as int) as status from (select n.name, n.tenant_id, m.email from nss n, (select distinct email from mem where role = 'owner') m) r")
+def namespace_authorise(spark, sf_dir):
+    spaces, held = tables.namespaces(spark, sf_dir), tables.members(spark, sf_dir)
+    names = spaces.agg(F.collect_list("name").alias("names"))  # a request for each of some 25 names
+    asked = held.where("role = 'owner'").select("email").distinct().join(F.broadcast(names)).select(F.explode("names").alias("name"), "email")
+    return tenancy.authorise_namespace(asked, spaces, held)
+
+
+@query("obj", "select key as entry, false as is_prefix, (select count(*) from obj where starts_with(key, 'en/')) > 500 as truncated from obj where starts_with(key, 'en/') order by 1 limit 500")
+def list_json_page(spark, sf_dir):
+    return listing.page(listing.grouped(tables.objects(spark, sf_dir), "en/"), listing.page_size(None, default=500))
+
+
+@query("", f"select n, cast(k as int) as part_number, (k - 1) * part_size as offset, least(part_size, n - (k - 1) * part_size) as length from (select n, part_size, unnest(range(1, cast(ceil(n / part_size) as bigint) + 1)) as k from (select n, greatest(8388608, cast(ceil(n / 10000) as bigint)) as part_size from (select cast(n as bigint) as n from {_values('n', _SIZES)})))")
+def part_rows(spark, sf_dir):
+    n = F.col("n").cast("long")
+    return _inline(spark, "n", _SIZES).select(n.alias("n")).select("n", F.explode(scalars.part_rows(F.col("n"))).alias("p")).select("n", "p.*")
+
+
+_BROWSED = [("/a/b", "a/b"), ("  //x ", "x"), ("a/", "a/"), ("", ""), ("/", ""), ("\t/ a", " a")]
+
+
+@query("", f"select s, regexp_replace(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), '^/+', '') as prefix from {_values('s, prefix', _BROWSED)}")
+def browse_prefix(spark, sf_dir):
+    return _inline(spark, "s", [(x[0],) for x in _BROWSED]).select("s", scalars.browse_prefix(F.col("s")).alias("prefix"))
+
+
+@query("", "select doc_id, regexp_full_match(v, '(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}') as uuid, case when lang = 'en' then 'owner' when lang = 'fr' then 'member' end as role from (select doc_id, lang, case when doc_id % 3 = 0 then sha256(text) else sha256(text)[1:8] || '-' || sha256(text)[9:12] || '-' || sha256(text)[13:16] || '-' || sha256(text)[17:20] || '-' || sha256(text)[21:32] end as v from documents)")
+def ids_and_roles(spark, sf_dir):
+    h = F.sha2("text", 256)
+    parts = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    v = F.when(F.col("doc_id") % 3 == 0, h).otherwise(F.concat_ws("-", *parts))
+    said = F.when(F.col("lang") == "en", "owner").when(F.col("lang") == "fr", F.lit(None).cast("string")).otherwise("guest")
+    return tables.load(spark, sf_dir, "documents").select("doc_id", scalars.is_uuid(v).alias("uuid"), scalars.role_of(said).alias("role"))
+
+
+@query("ids tr", """select r.id, '{"id":"' || r.id || '","children":[' || string_agg('{"id":"' || g.id || '","children":[' || g.kids || ']}', ',' order by g.idx) || ']}' as tree from tr r
+  join (select f.id, f.parent_id, f.idx, string_agg('{"id":"' || k.id || '"}', ',' order by k.idx) as kids from tr f join tr k on k.parent_id = f.id where f.depth = 1 group by 1, 2, 3) g on g.parent_id = r.id where r.depth = 0 group by r.id""")
+def tree_nested_whole(spark, sf_dir):
+    return tree.nested_below(_nodes(spark, sf_dir), 2)

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import hashlib
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIB = 1 << 20
 
 
+def trimmed(s: Column) -> Column:
+    """Without white space, Unicode's too, at both ends."""
+    return F.regexp_replace(s, r"(?U)\A\s+|\s+\z", "")
+
+
+def ascii_lower(s: Column) -> Column:
+    """A-Z in lower case, all other letters as they are."""
+    return F.translate(s, ascii_uppercase, ascii_lowercase)
+
+
 def byte_range(header: Column, size: Column) -> Column:
-    """struct(status, first, last) of an HTTP Range header: none (serve all), ok, or invalid."""
+    """struct(status, first, last) of an HTTP Range header: none (serve all), ok, or invalid. White space around it and its bounds does not count."""
     whole = F.lit("none")
-    spec = F.regexp_extract(header, r"^bytes=(.*)$", 1)
+    header = trimmed(header)
+    spec = F.regexp_extract(header, r"(?s)\Abytes=(.*)\z", 1)
     usable = header.startswith("bytes=") & ~F.contains(spec, F.lit(",")) & F.contains(spec, F.lit("-"))
-    a, b = F.substring_index(spec, "-", 1), F.substr(spec, F.instr(spec, "-") + 1)
-    first = F.when(a.rlike(r"\A[0-9]{1,18}\z"), a).cast("long")
-    last = F.when(b.rlike(r"\A[0-9]{1,18}\z"), b).cast("long")
+    a, b = trimmed(F.substring_index(spec, "-", 1)), trimmed(F.substr(spec, F.instr(spec, "-") + 1))
+    first, last = (F.when(x.rlike(r"\A\+?[0-9]{1,18}\z"), F.regexp_replace(x, r"\A\+", "")).cast("long") for x in (a, b))
     suffix, open_end = a == "", b == ""
     low = F.when(suffix, F.greatest(size - last, F.lit(0))).otherwise(first)
     high = F.when(suffix | open_end, size - 1).otherwise(F.least(last, size - 1))
@@ -50,11 +63,11 @@ def valid_name(name: Column) -> Column:
 
 
 def normal_email(email: Column, verified: Column) -> Column:
-    return F.when(verified, F.lower(F.trim(email)))
+    return F.when(verified, ascii_lower(trimmed(email)))
 
 
 def plausible_email(email: Column) -> Column:
-    return F.coalesce((F.trim(email) != "") & F.contains(email, F.lit("@")), F.lit(False))
+    return F.coalesce((trimmed(email) != "") & F.contains(email, F.lit("@")), F.lit(False))
 
 
 def role_of(role: Column) -> Column:
@@ -63,11 +76,11 @@ def role_of(role: Column) -> Column:
 
 
 def admitted(email: Column, verified: Column, domains: list[str], emails: list[str]) -> Column:
-    """Empty lists admit all; else a verified address that is listed, or whose part after the last @ is."""
+    """Empty lists admit all; else a verified address that is listed, or whose part after the last @ is. Case counts beyond ASCII."""
     if not domains and not emails:
         return F.lit(True)
-    low = F.lower(email)
-    listed = low.isin([x.lower() for x in emails]) | (F.contains(low, F.lit("@")) & F.substring_index(low, "@", -1).isin([x.lower() for x in domains]))
+    low, lower = ascii_lower(email), str.maketrans(ascii_uppercase, ascii_lowercase)
+    listed = low.isin([x.translate(lower) for x in emails]) | (F.contains(low, F.lit("@")) & F.substring_index(low, "@", -1).isin([x.translate(lower) for x in domains]))
     return F.coalesce(F.coalesce(verified, F.lit(False)) & listed, F.lit(False))
 
 
@@ -102,7 +115,7 @@ def like_escaped(s: Column) -> Column:
 
 
 def marker(s: Column) -> Column:
-    return F.base64(s.cast("binary"))
+    return F.translate(F.base64(s.cast("binary")), "\r\n", "")
 
 
 def from_marker(s: Column) -> Column:
@@ -126,6 +139,13 @@ def part_plan(size: Column) -> Column:
     return F.struct(part.alias("part_size"), F.ceil(size / part).cast("long").alias("parts"))
 
 
+def part_rows(size: Column) -> Column:
+    """array of struct(part_number, offset, length): the parts of part_plan()."""
+    plan = part_plan(size)
+    row = lambda k: F.struct(k.cast("int").alias("part_number"), ((k - 1) * plan["part_size"]).alias("offset"), F.least(plan["part_size"], size - (k - 1) * plan["part_size"]).alias("length"))
+    return F.when(plan["parts"] > 0, F.transform(F.sequence(F.lit(1).cast("long"), plan["parts"]), row)).otherwise(F.array().cast("array<struct<part_number:int,offset:bigint,length:bigint>>"))
+
+
 def upload_strategy(size: Column, known: Column) -> Column:
     return F.when(size < 16 * MIB, "single").when(known, "link").otherwise("multipart")
 
@@ -146,6 +166,11 @@ def destination(s: Column) -> Column:
     return F.when((bare == "") | bare.endswith("/"), bare).otherwise(F.concat(bare, F.lit("/")))
 
 
+def browse_prefix(s: Column) -> Column:
+    """Trimmed, no leading slash."""
+    return F.regexp_replace(trimmed(s), r"\A/+", "")
+
+
 def dirname(key: Column) -> Column:
     return F.regexp_replace(key, "[^/]*$", "")
 
@@ -213,8 +238,40 @@ def within_cap(body: Column, cap: int = 8 * MIB) -> Column:
 
 
 def preview_window(content: Column, cap: int = 512 * 1024) -> Column:
-    """struct(shown, truncated): the first bytes of a text for a preview."""
-    return F.struct(F.left(content, F.lit(cap)).alias("shown"), (F.length(content) > cap).alias("truncated"))
+    """struct(shown, truncated): the first `cap` bytes of a binary column for a preview."""
+    return F.struct(F.substring(content, 1, cap).alias("shown"), (F.octet_length(content) > cap).alias("truncated"))
+
+
+def canonical_query(raw: Column) -> Column:
+    """The pairs of a query string decoded, encoded again (the slash too) and sorted. A plus is a plus."""
+    plain = lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)
+    said = lambda x: F.replace(encoded(plain(x)), F.lit("/"), F.lit("%2F"))
+    name = lambda x: F.substring_index(x, "=", 1)
+    pairs = F.filter(F.split(raw, "&"), lambda x: x != "")
+    return F.array_join(F.array_sort(F.transform(pairs, lambda x: F.concat(said(name(x)), F.lit("="), said(F.substr(x, F.length(name(x)) + 2))))), "&")
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """The hex tag of a string or binary column under a constant key."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def request_signature(key: bytes, scope: str, when: str, method: Column, path: Column, query: Column, headers: Column, signed: Column, payload: Column) -> Column:
+    """The signature of canonical requests under a constant signing key and scope; headers: canonical lines, each with its line feed."""
+    request = F.concat_ws("\n", method, path, canonical_query(query), headers, signed, payload)
+    return hmac_sha256(key, F.concat_ws("\n", F.lit("AWS4-HMAC-SHA256"), F.lit(when), F.lit(scope), F.sha2(request, 256)))
+
+
+def url_base64(data: Column) -> Column:
+    """Base64 of a binary column, safe in addresses, without padding."""
+    return F.translate(F.base64(data), "+/=\r\n", "-_")  # Spark breaks lines
+
+
+def signed_value(secret: str, payload: Column) -> Column:
+    """The payload and its tag, as a cookie holds them."""
+    return F.concat(url_base64(payload.cast("binary")), F.lit("."), url_base64(F.unhex(hmac_sha256(secret.encode(), payload))))
 
 
 def query_pairs(raw: Column) -> Column:

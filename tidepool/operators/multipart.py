@@ -54,10 +54,31 @@ def parts_page(parts: DataFrame, upload_id: int, after: int = 0, limit: int = 10
     return top.select("part_number", "size", "etag", more.alias("truncated")).orderBy("part_number").limit(k)
 
 
-def uploads_under(uploads: DataFrame, prefix: str, compat: bool = False, limit: int = 1000) -> DataFrame:
-    """Uploads by key prefix, in order of key and id. compat: `%` and `_` in the prefix are wildcards."""
+def uploads_under(uploads: DataFrame, prefix: str, compat: bool = False, limit: int = 1000, after: tuple[str, int] | None = None) -> DataFrame:
+    """(id, key, truncated): a page of the uploads by key prefix, in order of key and id, with whether there are more.
+
+    after: key and id of the last one of the page before. compat: `%` and `_` in the prefix are wildcards.
+    """
     match = F.col("key").like(prefix + "%") if compat else F.col("key").startswith(prefix)
-    return uploads.where(match).orderBy("key", "id").limit(max(1, min(limit, 1000))).select("id", "key")
+    if after is not None:
+        match = match & ((F.col("key") > after[0]) | ((F.col("key") == after[0]) & (F.col("id") > after[1])))
+    k = max(1, min(limit, 1000))
+    top = uploads.where(match).orderBy("key", "id").limit(k + 1)
+    return top.select("id", "key", (F.expr("count(*) over ()") > k).alias("truncated")).orderBy("key", "id").limit(k)
+
+
+def created(requests: DataFrame, namespaces: DataFrame, kind: str = "application/octet-stream") -> DataFrame:
+    """requests(seq, ns, key, content_type): an upload with an id of its own each, or NoSuchBucket. Ids hash what was asked for, so a retry makes no second one."""
+    known = namespaces.select(F.col("name").alias("ns")).distinct().withColumn("there", F.lit(True))
+    made = F.when(F.col("there"), F.sha2(F.concat_ws("|", F.col("seq").cast("string"), "ns", "key"), 256))
+    status = F.when(F.col("there"), "created").otherwise("NoSuchBucket")
+    return requests.join(known, "ns", "left").select("seq", "ns", "key", F.coalesce("content_type", F.lit(kind)).alias("content_type"), made.alias("id"), status.alias("status"))
+
+
+def found(requests: DataFrame, uploads: DataFrame) -> DataFrame:
+    """requests(id, ns, key): found if the upload is that namespace's and key's own, else NoSuchUpload."""
+    known = uploads.select("id", "ns", "key").withColumn("there", F.lit(True))
+    return requests.join(known, ["id", "ns", "key"], "left").select("id", "ns", "key", F.when(F.col("there"), "found").otherwise("NoSuchUpload").alias("status"))
 
 
 def removed(uploads: DataFrame, parts: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,13 @@ def orphans(files: DataFrame, parts: DataFrame, as_of: Column, grace: int = 300)
     return old.join(parts.select(F.col("staging_key").alias("path")), "path", "left_anti")
 
 
+def swept(blobs: DataFrame, uploads: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row of what a sweep removes: blobs of collectable(), uploads(id) of abandoned(), and their parts(upload_id)."""
+    gone = parts.join(uploads.select(F.col("id").alias("upload_id")), "upload_id", "left_semi")
+    count = lambda f, name: f.agg(F.count("*").alias(name))
+    return count(blobs, "blobs").join(F.broadcast(count(uploads, "uploads"))).join(F.broadcast(count(gone, "parts")))  # a row each
+
+
 def cascade(deleted: DataFrame, uploads: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Uploads and parts that stay when the namespaces deleted(ns) go."""
     kept = uploads.join(deleted.select("ns"), "ns", "left_anti")

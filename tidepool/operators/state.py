@@ -29,13 +29,20 @@ def transitions(ops: DataFrame) -> DataFrame:
 
 def refcounts(ops: DataFrame) -> DataFrame:
     """(hash, size, refcount, updated_seq): for every blob ever put, the objects that refer to it now and the last claim or release."""
-    ever = ops.where("op = 'put'").groupBy("hash").agg(F.max("size").alias("size"))
-    live = writes(ops).groupBy("ns", "key").agg(F.max_by(F.struct("op", "hash"), "seq").alias("w")).where("w.op = 'put'")
-    counts = live.groupBy("w.hash").agg(F.count("*").alias("n"))
-    t = transitions(ops)
-    touched = t.where("op = 'put'").select("hash", "seq").unionByName(t.where("released is not null").select(F.col("released").alias("hash"), "seq"))
-    touched = touched.groupBy("hash").agg(F.max("seq").alias("updated_seq"))
-    return ever.join(counts, "hash", "left").join(touched, "hash", "left").select("hash", "size", F.coalesce("n", F.lit(0)).alias("refcount"), "updated_seq")
+    return touched(ops).select("hash", "size", "refcount", "updated_seq")
+
+
+def touched(ops: DataFrame) -> DataFrame:
+    """refcounts() with updated_at, where ops have ts. One scan: each write claims its blob, and for good if no write follows; it releases the one before."""
+    own = Window.partitionBy("ns", "key").orderBy("seq")
+    ts = F.col("ts") if "ts" in ops.columns else F.lit(None).cast("timestamp_ntz")
+    w = writes(ops).withColumn("at", ts).withColumn("before", F.lag(F.when(F.col("op") == "put", F.col("hash"))).over(own)).withColumn("last", F.lead("seq").over(own).isNull())
+    put = F.col("op") == "put"
+    claim = F.when(put, F.struct("hash", "size", F.col("last").cast("long").alias("refs")))
+    release = F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("hash"), F.lit(None).cast("long").alias("size"), F.lit(0).cast("long").alias("refs")))
+    each = w.select("seq", "at", F.explode(F.array_compact(F.array(claim, release))).alias("c")).select("seq", "at", "c.*")
+    out = each.groupBy("hash").agg(F.max("size").alias("size"), F.sum("refs").alias("refcount"), F.max(F.struct("seq", "at")).alias("u"))
+    return out.select("hash", "size", "refcount", F.col("u.seq").alias("updated_seq"), F.col("u.at").alias("updated_at"))
 
 
 def incremental_refcounts(ops: DataFrame) -> DataFrame:

@@ -26,3 +26,11 @@ def dedup_percent(logical: Column, physical: Column) -> Column:
 
 def with_savings(t: DataFrame) -> DataFrame:
     return t.withColumn("ratio", ratio(F.col("logical"), F.col("physical"))).withColumn("saved", F.col("logical") - F.col("physical"))
+
+
+def by_namespace(namespaces: DataFrame, objects: DataFrame) -> DataFrame:
+    """(id, name, objects, logical, namespaces) of every namespace(id, name), empty ones too, over objects(id, size); namespaces: how many there are."""
+    own = objects.groupBy("id").agg(F.count("*").alias("objects"), F.sum("size").alias("logical"))
+    all_ = namespaces.agg(F.count("*").alias("namespaces"))
+    none = F.lit(0).cast("long")
+    return namespaces.join(own, "id", "left").join(F.broadcast(all_)).select("id", "name", F.coalesce("objects", none).alias("objects"), F.coalesce("logical", none).alias("logical"), "namespaces")  # one row

@@ -84,9 +84,20 @@ def remove_member_outcomes(requests: DataFrame, members: DataFrame) -> DataFrame
     return found.select("tenant_id", "email", status.alias("status"))
 
 
+def authorise_namespace(requests: DataFrame, namespaces: DataFrame, members: DataFrame) -> DataFrame:
+    """requests(name, email) -> status: 404 where there is no such namespace or the tenant that owns it does not have the caller."""
+    known = namespaces.join(members, "tenant_id").select("name", "email").distinct().withColumn("own", F.lit(True))
+    return requests.join(known, ["name", "email"], "left").select("name", "email", F.when(F.col("own"), 200).otherwise(404).alias("status"))
+
+
 def authorise(requests: DataFrame, tenants: DataFrame, members: DataFrame) -> DataFrame:
     """requests(tenant, email, owner_only) -> status: 404 hides tenants from strangers, 403 stops members where owners are asked for."""
     known = tenants.join(members, F.col("id") == F.col("tenant_id")).select(F.col("name").alias("tenant"), "email", "role")
     found = requests.join(known, ["tenant", "email"], "left")
     status = F.when(F.col("role").isNull(), 404).when(F.col("owner_only") & (F.col("role") != "owner"), 403).otherwise(200)
     return found.select("tenant", "email", "owner_only", status.alias("status"))
+
+
+def member_lists(tenants: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, name, email, role): the members of every tenant; a row of nulls where there are none."""
+    return tenants.join(members.withColumnRenamed("tenant_id", "id"), "id", "left").select("id", "name", "email", "role")

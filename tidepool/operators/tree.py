@@ -36,9 +36,13 @@ def visible(nodes: DataFrame, collapsed: DataFrame) -> DataFrame:
 
 
 def positions(nodes: DataFrame, prefix: str) -> DataFrame:
-    """Rows under one folder with their place in reading order. A folder's visible rows are what a screen shows, hence one window."""
-    shown = nodes.where(F.col("id").startswith(prefix))
-    return shown.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(prefix)).orderBy("id")) - 1)
+    """Rows under one folder with their place in reading order: places are counted below each child, and the children's first places added."""
+    shown = nodes.where(F.col("id").startswith(prefix)).withColumn("child", F.concat(F.lit(prefix), F.regexp_extract(F.substr("id", F.lit(len(prefix) + 1)), "^[^/]*/?", 0)))
+    sizes = shown.groupBy("child").agg(F.count("*").alias("n"))
+    before = Window.orderBy("child").rowsBetween(Window.unboundedPreceding, -1)  # a number for each child
+    first = sizes.select("child", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = shown.withColumn("pos", F.row_number().over(Window.partitionBy("child").orderBy("id")) - 1).join(first, "child")
+    return placed.select(*nodes.columns, (F.col("pos") + F.col("first")).alias("pos"))
 
 
 def select_range(placed: DataFrame, anchor: str, target: str) -> DataFrame:
@@ -115,26 +119,20 @@ def keys_under(objects: DataFrame, folders: list[str]) -> DataFrame:
 
 def moves(placed: DataFrame) -> DataFrame:
     """Next and previous row of each, clamped at the ends."""
-    at = Window.partitionBy(F.lit(0)).orderBy("pos")
-    return placed.select("id", F.coalesce(F.lead("id").over(at), "id").alias("next"), F.coalesce(F.lag("id").over(at), "id").alias("previous"))
+    after = placed.select((F.col("pos") - 1).alias("pos"), F.col("id").alias("n"))
+    before = placed.select((F.col("pos") + 1).alias("pos"), F.col("id").alias("p"))
+    both = placed.select("id", "pos").join(after, "pos", "left").join(before, "pos", "left")
+    return both.select("id", F.coalesce("n", "id").alias("next"), F.coalesce("p", "id").alias("previous"))
 
 
 def keyboard(placed: DataFrame) -> DataFrame:
     """For every shown row, where each key leads: up and down (held at the ends), home, end, left (the parent, if shown), right (the first shown child)."""
-    order = Window.orderBy("pos")  # a folder's shown rows, as in positions()
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = placed.agg(F.min_by("id", "pos").alias("home"), F.max_by("id", "pos").alias("end"))
     child = placed.groupBy(F.col("parent_id").alias("of")).agg(F.min_by("id", "pos").alias("right"))
     parents = placed.select(F.col("id").alias("left"))
-    moved = placed.select(
-        "id",
-        "parent_id",
-        F.coalesce(F.lag("id").over(order), "id").alias("up"),
-        F.coalesce(F.lead("id").over(order), "id").alias("down"),
-        F.first("id").over(whole).alias("home"),
-        F.last("id").over(whole).alias("end"),
-    )
+    moved = placed.select("id", "parent_id").join(moves(placed), "id").join(F.broadcast(ends))  # one row
     moved = moved.join(parents, F.col("parent_id") == F.col("left"), "left").join(child, F.col("id") == F.col("of"), "left")
-    return moved.select("id", "up", "down", "home", "end", "left", "right")
+    return moved.select("id", F.col("previous").alias("up"), F.col("next").alias("down"), "home", "end", "left", "right")
 
 
 def type_ahead(placed: DataFrame, focus: int, typed: str) -> DataFrame:
@@ -146,11 +144,10 @@ def type_ahead(placed: DataFrame, focus: int, typed: str) -> DataFrame:
 
 
 def guides(placed: DataFrame) -> DataFrame:
-    """(id, guide): depths above a row's own that occur again in a later row before the next root. Rows are those of one screen."""
-    later = placed.select(F.col("pos").alias("p2"), F.col("depth").alias("d2"))
-    root = placed.where("depth = 0").select(F.col("pos").alias("r"))
-    bound = placed.join(root, F.col("r") > F.col("pos"), "left").groupBy("id", "pos", "depth").agg(F.coalesce(F.min("r"), F.lit(1 << 30)).alias("stop"))
-    return bound.join(later, (F.col("p2") > F.col("pos")) & (F.col("p2") < F.col("stop")) & (F.col("d2") < F.col("depth"))).select("id", F.col("d2").alias("guide")).distinct()
+    """(id, guide): depths above a row's own that occur again in a later row before the next root. The last place of each depth below each root tells."""
+    rooted = placed.select("id", "pos", "depth", F.regexp_extract("id", "^[^/]*/?", 0).alias("root"))
+    last = rooted.groupBy("root", F.col("depth").alias("guide")).agg(F.max("pos").alias("last"))  # as many rows as a key has parts, for each root
+    return rooted.join(last, "root").where("guide < depth and last > pos and guide > 0").select("id", "guide")
 
 
 def nested(nodes: DataFrame) -> DataFrame:
@@ -159,6 +156,17 @@ def nested(nodes: DataFrame) -> DataFrame:
     return kids.select(F.col("parent_id").alias("id"), F.transform("c", lambda x: x["id"]).alias("children"))
 
 
+def nested_below(nodes: DataFrame, levels: int) -> DataFrame:
+    """(id, tree): the roots with what is below them as JSON, down to `levels` levels; a group's value is the list of its children."""
+    said = nodes.where(~F.col("is_group") | (F.col("depth") >= levels)).select("id", "parent_id", "idx", "depth", F.to_json(F.struct("id")).alias("tree"))
+    for depth in range(levels - 1, -1, -1):
+        kids = said.where(F.col("depth") == depth + 1).groupBy(F.col("parent_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("idx", "tree"))).alias("c"))
+        groups = nodes.where(F.col("is_group") & (F.col("depth") == depth)).join(kids, F.col("id") == F.col("of"), "left")
+        text = F.concat(F.lit('{"id":"'), "id", F.lit('","children":['), F.coalesce(F.array_join(F.transform("c", lambda x: x["tree"]), ","), F.lit("")), F.lit("]}"))
+        said = said.where(F.col("depth") <= depth).unionByName(groups.select("id", "parent_id", "idx", "depth", text.alias("tree")))
+    return said.where("depth = 0").select("id", "tree")
+
+
 def has_children(nodes: DataFrame, loaded: DataFrame) -> DataFrame:
     """(id, has): groups have children until they are loaded(id) and found empty."""
     parents = nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("parent", F.lit(True))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import scalars
-from tidepool.operators import listing, multipart, stats, tenancy
+from tidepool.operators import listing, multipart, state, stats, tenancy
 from tidepool.sources import tables
 
 #: Codes by status.
@@ -38,10 +38,31 @@ class Store:
         if delimiter is not None and (len(delimiter) != 1 or ord(delimiter) > 126):
             raise StoreError("InvalidArgument", "delimiter must be one ASCII character")
         own = self.objects.where(F.col("ns") == ns)
-        if own.isEmpty():
+        if self.namespaces().where(F.col("name") == ns).isEmpty() and own.isEmpty():  # a namespace may hold nothing
             raise StoreError("NoSuchBucket", ns)
         return listing.page(listing.grouped(own, prefix, delimiter, marker), max_keys)
 
+    def create_upload(self, ns: str, key: str, kind: str | None = None, seq: int = 0) -> DataFrame:
+        """(seq, ns, key, content_type, id, status) of a new upload."""
+        asked = self.spark.range(1).select(F.lit(seq).alias("seq"), F.lit(ns).alias("ns"), F.lit(key).alias("key"), scalars.content_type(F.lit(kind).cast("string"), F.lit(key)).alias("content_type"))
+        known = self.namespaces().select("name").unionByName(self.objects.select(F.col("ns").alias("name")).distinct())
+        out = multipart.created(asked, known)
+        return self._found(out.where("status = 'created'"), "NoSuchBucket", ns)
+
+    def delete(self, ns: str, keys: list[str]) -> DataFrame:
+        """(key, status, existed) of a batch; keys that are not there count as deleted."""
+        asked = self.spark.range(1).select(F.explode(F.array(*map(F.lit, keys))).alias("key")).distinct()
+        return state.batch_delete(asked, self.objects.where(F.col("ns") == ns))
+
+    def copy(self, ns: str, source: str, key: str) -> DataFrame:
+        """(src, dst, hash, size, status) of a copy from a copy-source header; no bytes move."""
+        asked = self.spark.range(1).select(scalars.copy_source(F.lit(source)).alias("s")).select("s.*").first()
+        if asked["ns"] is None:
+            raise StoreError("InvalidArgument", source)
+        held = self.objects.where(F.col("ns") == asked["ns"])
+        out = state.copies(self.spark.range(1).select(F.lit(asked["key"]).alias("src"), F.lit(f"{ns}/{key}").alias("dst")), held)
+        return self._found(out.where("status = 'copied'"), "NoSuchKey", source)
+
     def stats(self, email: str | None = None) -> DataFrame:
         if email is None:
             return stats.with_savings(stats.totals(self.objects))
