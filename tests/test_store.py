@@ -230,3 +230,42 @@ def test_guides_and_places_against_a_plain_loop(spark):
     assert [r[1] for r in rows] == sorted(r.id for r in nodes.collect()) and [r[0] for r in rows] == list(range(len(rows)))
     want = {(a[1], b[2]) for a in rows for b in rows if b[0] > a[0] and 0 < b[2] < a[2]}
     assert {(r.id, r.guide) for r in tree.guides(placed).collect()} == want
+
+
+def test_listing_of_files(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "one").write_bytes(b"x" * 5)
+    (tmp_path / "a" / "b" / "two").write_bytes(b"")
+    assert {(r.path.rsplit("/", 1)[1], r.length, r.modified is not None) for r in tables.listing(spark, str(tmp_path)).collect()} == {("one", 5, True)}  # an empty file is passed by
+
+
+def test_sweeps_go_on_after_a_failure(spark, tmp_path):
+    import time
+
+    ticks = []
+
+    def tick(number):
+        ticks.append(number)
+        if len(ticks) == 1:
+            raise ValueError("once")
+
+    running = flows.sweep_every(spark, tick, str(tmp_path / "c"), seconds=1)  # held to 5
+    until = time.time() + 40
+    while len(ticks) < 2 and time.time() < until and running.isActive:
+        time.sleep(0.5)
+    assert running.isActive and len(ticks) >= 2
+    running.stop()
+
+
+def test_a_quiet_batch_hides_what_succeeded(spark):
+    objects = spark.createDataFrame([("a",)], "key string")
+    asked = spark.createDataFrame([("a",), ("b",)], "key string")
+    assert state.batch_delete(asked, objects, quiet=True).collect() == [] and state.batch_delete(asked, objects).count() == 2
+
+
+def test_copies_need_the_blob(spark):
+    ops = spark.createDataFrame([(1, "n", "a", "put", "h", 3, "t"), (5, "n", "a", "delete", "x", 0, "t"), (6, "n", "a", "put", "g", 4, "u")], "seq long, ns string, key string, op string, hash string, size long, content_type string")
+    asked = spark.createDataFrame([(s, "n", "a", f"d{s}") for s in (0, 2, 5, 7, 9)], "seq long, ns string, src string, dst string")
+    got = {r.seq: (r.hash, r.content_type, r.status) for r in state.copies_as_of(asked, ops, spark.createDataFrame([("h",)], "hash string")).collect()}
+    none = (None, None, "NoSuchKey")
+    assert got == {0: none, 2: ("h", "t", "copied"), 5: ("h", "t", "copied"), 7: none, 9: none}

@@ -360,7 +360,8 @@ def blob_refcounts(spark, sf_dir):
     return state.refcounts(tables.operations(spark, sf_dir))
 
 
-@query("refs", "select count(*) as blobs, cast(0 as bigint) as differing, count(*) filter (refcount = 0) as dead from refs")
+@query("refs", """select count(*) as blobs, count(*) filter (refcount is distinct from n) as differing, count(*) filter (refcount = 0) as dead from refs full join
+  (select hash, greatest(sum(d), 0) as n from (select hash, 1 as d from w where op = 'put' union all select released, -1 from w where released is not null) group by 1) using (hash)""")
 def refcount_reconcile(spark, sf_dir):
     ops = tables.operations(spark, sf_dir)
     both = state.refcounts(ops).join(state.incremental_refcounts(ops).select("hash", F.col("refcount").alias("counted")), "hash", "full")
@@ -941,3 +942,22 @@ def ids_and_roles(spark, sf_dir):
   join (select f.id, f.parent_id, f.idx, string_agg('{"id":"' || k.id || '"}', ',' order by k.idx) as kids from tr f join tr k on k.parent_id = f.id where f.depth = 1 group by 1, 2, 3) g on g.parent_id = r.id where r.depth = 0 group by r.id""")
 def tree_nested_whole(spark, sf_dir):
     return tree.nested_below(_nodes(spark, sf_dir), 2)
+
+
+@query("refs", """select c.seq, c.hash, r.size, case when r.hash is null then 'miss' else 'claimed' end as status, r.refcount + row_number() over (partition by c.hash order by c.seq) as refcount
+  from (select doc_id as seq, sha256(cast(doc_id % 1100 as varchar)) as hash from documents) c left join (select * from refs where hash not in
+  (select r.hash from refs r join ops o on o.seq = r.updated_seq where r.refcount = 0 and o.ts < (select max(ts) from ops) - interval 300 second order by o.ts, r.hash limit 1000)) r using (hash)""")
+def blob_claims(spark, sf_dir):
+    ops = tables.operations(spark, sf_dir)
+    blobs = state.touched(ops)
+    asked = tables.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.sha2((F.col("doc_id") % 1100).cast("string"), 256).alias("hash"))
+    return state.claims(asked, blobs, retention.collectable(blobs, F.lit(ops.agg(F.max("ts")).first()[0])))
+
+
+@query("live", """select r.seq, r.ns, r.key as src, r.key || '.copy' as dst, case when b.op = 'put' then b.hash end as hash, case when b.op = 'put' then b.size end as size, case when b.op = 'put' then 'type/' || (b.seq % 3) end as content_type,
+  case when b.op = 'put' then 'copied' else 'NoSuchKey' end as status from ops r left join (select r.seq as at, max(x.seq) as seq from ops r join w x on x.ns = r.ns and x.key = r.key and x.seq < r.seq where r.op = 'read' group by 1) l on l.at = r.seq
+  left join ops b on b.seq = l.seq where r.op = 'read'""")
+def copies_in_log(spark, sf_dir):
+    ops = tables.operations(spark, sf_dir).withColumn("content_type", F.concat(F.lit("type/"), (F.col("seq") % 3).cast("string")))
+    asked = ops.where("op = 'read'").select("seq", "ns", F.col("key").alias("src"), F.concat("key", F.lit(".copy")).alias("dst"))
+    return state.copies_as_of(asked, ops, ops.where("op = 'put'").select("hash"))

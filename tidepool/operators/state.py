@@ -71,6 +71,32 @@ def links(requests: DataFrame, blobs: DataFrame, visible: DataFrame) -> DataFram
     return found.select("tenant_id", "hash", "size", F.when(F.col("size").isNull(), "miss").otherwise("linked").alias("status"))
 
 
+def claims(requests: DataFrame, blobs: DataFrame, swept: DataFrame) -> DataFrame:
+    """requests(seq, hash) over blobs(hash, size, refcount) and the hashes that a sweep takes first: claimed with the stored size
+    and the references after the request, or miss. A blob without references that no sweep has taken can still be claimed."""
+    held = blobs.join(swept.select("hash"), "hash", "left_anti").select("hash", "size", "refcount")
+    nth = F.row_number().over(Window.partitionBy("hash").orderBy("seq"))
+    out = requests.join(held, "hash", "left").withColumn("nth", nth)
+    status = F.when(F.col("size").isNull(), "miss").otherwise("claimed")
+    return out.select("seq", "hash", "size", status.alias("status"), F.when(F.col("size").isNotNull(), F.col("refcount") + F.col("nth")).alias("refcount"))
+
+
+def copies_as_of(requests: DataFrame, ops: DataFrame, kept: DataFrame) -> DataFrame:
+    """requests(seq, ns, src, dst) against the log as it stood before each: hash, size and content type of the source then, and
+    NoSuchKey where it was not there or its blob is not among kept(hash). The log's writes are (seq, ns, key, op, hash, size, content_type)."""
+    log = writes(ops).select("ns", "key", "seq", F.struct("op", "hash", "size", "content_type").alias("w"), F.lit(None).cast("string").alias("dst"))
+    none = F.lit(None).cast(log.schema["w"].dataType)
+    asked = requests.select("ns", F.col("src").alias("key"), "seq", none.alias("w"), "dst")
+    before = F.last("w", ignorenulls=True).over(Window.partitionBy("ns", "key").orderBy("seq", F.col("dst").isNull()).rowsBetween(Window.unboundedPreceding, -1))
+    found = log.unionByName(asked).withColumn("was", before).where("dst is not null")
+    found = found.select("seq", "ns", F.col("key").alias("src"), "dst", F.when(F.col("was.op") == "put", F.col("was")).alias("was"))
+    there = kept.select(F.col("hash").alias("h")).distinct()
+    found = found.join(there, F.col("was.hash") == F.col("h"), "left")
+    ok = F.col("h").isNotNull()
+    fields = [F.when(ok, F.col(f"was.{c}")).alias(c) for c in ("hash", "size", "content_type")]
+    return found.select("seq", "ns", "src", "dst", *fields, F.when(ok, "copied").otherwise("NoSuchKey").alias("status"))
+
+
 def batch_delete(requests: DataFrame, objects: DataFrame, quiet: bool = False) -> DataFrame:
     """requests(key): missing keys count as deleted; existed tells them apart. Quiet hides successes."""
     known = objects.select("key").distinct().withColumn("there", F.lit(True))

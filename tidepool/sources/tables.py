@@ -110,7 +110,7 @@ def nation_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modified, length) of the files under a folder, without their bytes."""
+    """(path, modified, length) of the files under a folder, without their bytes. Files that hold none are left out, as Spark's readers pass them by."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.select("path", F.col("modificationTime").alias("modified"), "length")
 
