@@ -269,3 +269,68 @@ def test_copies_need_the_blob(spark):
     got = {r.seq: (r.hash, r.content_type, r.status) for r in state.copies_as_of(asked, ops, spark.createDataFrame([("h",)], "hash string")).collect()}
     none = (None, None, "NoSuchKey")
     assert got == {0: none, 2: ("h", "t", "copied"), 5: ("h", "t", "copied"), 7: none, 9: none}
+
+
+def test_pages_of_xml_and_json_go_on_to_the_end(spark):
+    import json
+    import xml.etree.ElementTree as ET
+
+    from tidepool.operators import listing
+
+    keys = ["a", "a b&<c>", "d/1", "d/2", "d0", "e/x", "é", "z"]
+    objects = spark.createDataFrame([(k, "h" * 64, i) for i, k in enumerate(keys)], "key string, hash string, size long").withColumn("updated", F.expr("timestamp_ntz '2024-01-01 00:00:00.120'"))
+    want = ["a", "a b&<c>", "d/", "d0", "e/", "é", "z"]
+    at = "{http://s3.amazonaws.com/doc/2006-03-01/}"
+    # a page resumes above all of a group, and so past the key right there, as the walk does that it answers for
+    for v2, size, lost in ((False, 2, set()), (True, 2, set()), (True, 3, {"d0"})):
+        seen, start = [], None
+        for _ in range(len(want)):
+            more = {"token": start} if v2 else {"marker": start or ""}
+            root = ET.fromstring(listing.answer_xml(objects, "ns", "", "/", size, v2=v2, **more).first()["xml"].encode())
+            own = [x.text for x in root.iter(f"{at}Key")] + [x.find(f"{at}Prefix").text for x in root.iter(f"{at}CommonPrefixes")]
+            assert int(root.find(f"{at}KeyCount").text) == len(own) and all(x.text == "2024-01-01T00:00:00.120Z" for x in root.iter(f"{at}LastModified"))
+            seen += own
+            start = root.findtext(f"{at}NextContinuationToken" if v2 else f"{at}NextMarker")
+            assert (start is None) == (root.findtext(f"{at}IsTruncated") == "false")
+            if start is None:
+                break
+        assert sorted(seen) == sorted(set(want) - lost)
+    page = json.loads(listing.answer_json(objects, "", "/", 3).first()["json"])
+    assert [o["key"] for o in page["objects"]] == ["a", "a b&<c>"] and page["common_prefixes"] == ["d/"] and page["objects"][0]["last_modified"] == "2024-01-01T00:00:00.120Z"
+    empty = listing.answer_xml(objects.limit(0), "ns").first()["xml"]
+    assert "<KeyCount>0</KeyCount><IsTruncated>false</IsTruncated><Marker/></ListBucketResult>" in empty
+    assert json.loads(listing.answer_json(objects.limit(0)).first()["json"]) == {"objects": [], "common_prefixes": [], "next_token": None}
+    with pytest.raises(ValueError):
+        listing.answer_json(objects, token="no base64!")
+
+
+def test_request_bodies_that_cannot_be_read(spark):
+    from tidepool.functions import documents
+
+    part = "<Part><PartNumber>{}</PartNumber></Part>"
+    sent = [f"<CompleteMultipartUpload>{part.format(2)}{part.format(1)}</CompleteMultipartUpload>", f"<CompleteMultipartUpload>{part.format('x')}</CompleteMultipartUpload>", "<CompleteMultipartUpload/>", "<Comp", None]
+    rows = spark.createDataFrame([(x,) for x in sent], "body string").select(documents.complete_body(F.col("body")).alias("p")).collect()
+    assert [None if r.p is None else [(p.part_number, p.etag) for p in r.p] for r in rows] == [[(2, None), (1, None)], None, [], None, None]
+    sent = ['{"parts":[{"part_number":1,"etag":"a"},{"part_number":2}]}', '{"parts":[{"etag":"a"}]}', '{"parts":[]}', "{}", "{", None]
+    rows = spark.createDataFrame([(x,) for x in sent], "body string").select(documents.complete_body(F.col("body"), "json").alias("p")).collect()
+    assert [None if r.p is None else [(p.part_number, p.etag) for p in r.p] for r in rows] == [[(1, "a"), (2, None)], None, [], None, None, None]
+
+
+def test_answers_to_deletes_and_completions(spark):
+    from tidepool.functions import documents
+
+    keys, failed = F.array(F.lit("a&b"), F.lit("c")), F.array(F.struct(F.lit("d").alias("key"), F.lit("InternalError").alias("code"), F.lit("x<y").alias("message")))
+    said = spark.range(1).select(*[documents.delete_answer(keys, failed, F.lit(q)) for q in (False, True)], documents.complete_answer(F.lit("ns"), F.lit("k/1"), F.lit('"t"'))).first()
+    ill = "<Error><Key>d</Key><Code>InternalError</Code><Message>x&lt;y</Message></Error></DeleteResult>"
+    assert said[0].endswith(f"<Deleted><Key>a&amp;b</Key></Deleted><Deleted><Key>c</Key></Deleted>{ill}") and said[1].endswith(f'2006-03-01/">{ill}')
+    assert said[2].endswith('<Location>/ns/k/1</Location><Bucket>ns</Bucket><Key>k/1</Key><ETag>"t"</ETag></CompleteMultipartUploadResult>')
+
+
+def test_places_of_a_hot_folder_and_of_none(spark):
+    from tidepool.operators import tree
+
+    nodes = tree.rows(spark.createDataFrame([(f"hot/{i}",) for i in range(700)] + [("cold/1",), ("top",)], "key string"))
+    for buckets in (1, 2, 64):
+        placed = sorted((r.pos, r.id) for r in tree.positions(nodes, buckets=buckets).collect())
+        assert placed == list(enumerate(sorted(r.id for r in nodes.collect())))
+    assert tree.positions(nodes.limit(0)).count() == 0

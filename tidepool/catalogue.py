@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.functions import digest, scalars
+from tidepool.functions import digest, documents, scalars
 from tidepool.operators import listing, multipart, retention, state, stats, tenancy, tree
 from tidepool.sources import tables
 from tidepool.streaming import flows
@@ -44,7 +44,7 @@ CTES = {
     "tr": "select *, cast(row_number() over (partition by parent_id order by is_group desc, id) - 1 as int) as idx from ids",
     "anc": """select id, array_to_string(p[1:k], '/') || '/' as ancestor, cast(len(p) - k as int) as distance
       from (select id, p, unnest(range(1, len(p))) as k from (select id, string_split(rtrim(id, '/'), '/') as p from ids))""",
-    "pos": "select id, parent_id, depth, is_group, row_number() over (order by id) - 1 as pos from ids where starts_with(id, 'en/')",
+    "pos": "select id, parent_id, depth, is_group, row_number() over (order by id) - 1 as pos from ids",
 }
 _NEEDS = {"w": ["ops"], "live": ["w"], "refs": ["live"], "owned": ["nobj", "nss"], "man": ["prt"], "chk": ["man"], "ids": ["obj"], "tr": ["ids"], "anc": ["ids"], "pos": ["ids"]}
 
@@ -378,17 +378,18 @@ def overwrite_releases(spark, sf_dir):
     return state.transitions(tables.operations(spark, sf_dir)).select("seq", "ns", "key", "op", "released")
 
 
-@query("live", "select src, src || '.copy' as dst, hash, size, case when hash is null then 'NoSuchKey' else 'copied' end as status from (select distinct key as src from ops where ns = 'ns-0') left join (select key as src, hash, size from live where ns = 'ns-0') using (src)")
+@query("live", """select r.ns, r.key as src, r.key || '.copy' as dst, hash, size, case when hash is null then 'NoSuchKey' else 'copied' end as status
+  from (select distinct ns, key from ops) r left join (select ns, key, hash, size from live) using (ns, key)""")
 def copy_objects(spark, sf_dir):
-    ops = tables.operations(spark, sf_dir).where("ns = 'ns-0'")
-    asked = ops.select(F.col("key").alias("src")).distinct().withColumn("dst", F.concat("src", F.lit(".copy")))
-    return state.copies(asked, state.current(ops))
+    ops = tables.operations(spark, sf_dir)
+    asked = ops.select("ns", F.col("key").alias("src")).distinct().withColumn("dst", F.concat("src", F.lit(".copy")))
+    return state.copies(asked, state.current(ops), ("ns",))
 
 
-@query("live", "select key, 'deleted' as status, key in (select key from live where ns = 'ns-1') as existed from (select distinct key from ops where ns = 'ns-1')")
+@query("live", "select r.ns, r.key, 'deleted' as status, l.key is not null as existed from (select distinct ns, key from ops) r left join (select ns, key from live) l on l.ns = r.ns and l.key = r.key")
 def batch_delete_outcomes(spark, sf_dir):
-    ops = tables.operations(spark, sf_dir).where("ns = 'ns-1'")
-    return state.batch_delete(ops.select("key").distinct(), state.current(ops))
+    ops = tables.operations(spark, sf_dir)
+    return state.batch_delete(ops.select("ns", "key").distinct(), state.current(ops), by=("ns",))
 
 
 # -- multipart
@@ -684,7 +685,7 @@ def tree_sibling_count(spark, sf_dir):
 
 @query("pos", "select id, pos from pos where pos between (select pos from pos where id = 'en/0/') and (select pos from pos where id = 'en/1/')")
 def tree_range_select(spark, sf_dir):
-    return tree.select_range(tree.positions(_nodes(spark, sf_dir), "en/"), "en/1/", "en/0/").withColumn("pos", F.col("pos").cast("long"))
+    return tree.select_range(tree.positions(_nodes(spark, sf_dir)), "en/1/", "en/0/").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("ids", "select id from ids where parent_id = 'en/' and is_group")
@@ -727,7 +728,7 @@ def selection_summary(spark, sf_dir):
 @query("pos", """select id, coalesce(lag(id) over (order by pos), id) as up, coalesce(lead(id) over (order by pos), id) as down, (select min_by(id, pos) from pos) as home, (select max_by(id, pos) from pos) as "end",
   case when parent_id in (select id from pos) then parent_id end as left, (select min_by(c.id, c.pos) from pos c where c.parent_id = pos.id) as right from pos""")
 def tree_keyboard(spark, sf_dir):
-    return tree.keyboard(tree.positions(_nodes(spark, sf_dir), "en/"))
+    return tree.keyboard(tree.positions(_nodes(spark, sf_dir)))
 
 
 @query("ids", "select id from (values ('en/'), ('fr/2/'), ('de/1/')) v(id)")
@@ -747,17 +748,17 @@ def tree_group_ids(spark, sf_dir):
 
 @query("pos", "select id, coalesce(lead(id) over (order by pos), id) as next, coalesce(lag(id) over (order by pos), id) as previous from pos")
 def tree_moves(spark, sf_dir):
-    return tree.moves(tree.positions(_nodes(spark, sf_dir), "en/"))
+    return tree.moves(tree.positions(_nodes(spark, sf_dir)))
 
 
 @query("pos", "select id, pos from pos where starts_with(regexp_extract(id, '([^/]*)/?$', 1), '2') order by (pos - 3 - 1 + (select count(*) from pos)) % (select count(*) from pos) limit 1")
 def tree_type_ahead(spark, sf_dir):
-    return tree.type_ahead(tree.positions(_nodes(spark, sf_dir), "en/"), 3, "2").withColumn("pos", F.col("pos").cast("long"))
+    return tree.type_ahead(tree.positions(_nodes(spark, sf_dir)), 3, "2").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("pos", "select distinct a.id, b.depth as guide from pos a join pos b on b.pos > a.pos and b.depth < a.depth where b.pos < coalesce((select min(r.pos) from pos r where r.depth = 0 and r.pos > a.pos), 1073741824)")
 def tree_guides(spark, sf_dir):
-    return tree.guides(tree.positions(_nodes(spark, sf_dir), "en/"))
+    return tree.guides(tree.positions(_nodes(spark, sf_dir)))
 
 
 @query("tr", "select parent_id as id, list(id order by idx) as children from tr where parent_id is not null group by 1")
@@ -820,17 +821,15 @@ def body_limits(spark, sf_dir):
     return p.select("page_id", scalars.within_cap(F.col("html"), 4096).alias("fits"), scalars.preview_window(F.col("html").cast("binary"), 101).alias("v")).select("page_id", "fits", F.sha2("v.shown", 256).alias("shown"), "v.truncated")
 
 
-@query("obj", """select '{"key":"' || key || '","etag":"' || hash || '","size":' || size || '}' as json from obj where ns = 'ns-src3'""")
+@query("obj", """select '{"ns":"' || ns || '","key":"' || key || '","etag":"' || hash || '","size":' || size || '}' as json from obj""")
 def listing_json(spark, sf_dir):
-    o = tables.objects(spark, sf_dir).where("ns = 'ns-src3'")
-    return o.select(F.to_json(F.struct("key", F.col("hash").alias("etag"), "size")).alias("json"))
+    return tables.objects(spark, sf_dir).select(F.to_json(F.struct("ns", "key", F.col("hash").alias("etag"), "size")).alias("json"))
 
 
-@query("obj", "select key, size from obj where ns = 'ns-src3'")
+@query("obj", "select ns, key, size from obj")
 def listing_xml_round_trip(spark, sf_dir):
-    o = tables.objects(spark, sf_dir).where("ns = 'ns-src3'")
     xml = F.to_xml(F.struct(F.col("key").alias("Key"), F.col("size").alias("Size")), {"rowTag": "Contents"})
-    return o.select(F.from_xml(xml, "Key string, Size long").alias("x")).select(F.col("x.Key").alias("key"), F.col("x.Size").alias("size"))
+    return tables.objects(spark, sf_dir).select("ns", F.from_xml(xml, "Key string, Size long").alias("x")).select("ns", F.col("x.Key").alias("key"), F.col("x.Size").alias("size"))
 
 
 @query("", "select user_id, count(*) as live from events where ts + interval 24 hour > (select max(ts) from events) group by 1")
@@ -961,3 +960,85 @@ def copies_in_log(spark, sf_dir):
     ops = tables.operations(spark, sf_dir).withColumn("content_type", F.concat(F.lit("type/"), (F.col("seq") % 3).cast("string")))
     asked = ops.where("op = 'read'").select("seq", "ns", F.col("key").alias("src"), F.concat("key", F.lit(".copy")).alias("dst"))
     return state.copies_as_of(asked, ops, ops.where("op = 'put'").select("hash"))
+
+
+# -- answers and bodies
+
+
+def _dated(spark, sf_dir):
+    return _ns0(spark, sf_dir).withColumn("updated", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, cast(size as decimal(18, 6)) / 1000)"))
+
+
+def _answer_sql(prefix: str, delimiter: str, marker: str, k: int, head: str, where: str, item: str, group: str, tail: str) -> str:
+    """A document around the entries of a page; where: what tells of markers, with the next one as m."""
+    after = f"case when max_by(is_prefix, entry) then substr(max(entry), 1, length(max(entry)) - 1) || '{chr(ord(delimiter) + 1)}' else max(entry) end" if delimiter else "max(entry)"
+    return f"""select {head} || n || {where} || own || groups || {tail} as doc from (select count(*) as k, max(truncated) as more, case when max(truncated) then {after} end as m,
+      coalesce(string_agg({item}, '' order by entry) filter (not is_prefix), '') as own, coalesce(string_agg({group}, '' order by entry) filter (is_prefix), '') as groups,
+      '<KeyCount>' || count(*) || '</KeyCount><IsTruncated>' || max(truncated) || '</IsTruncated>' as n
+      from ({_listed(prefix, delimiter, marker, k)}) l left join (select *, timestamp '2024-01-01' + to_milliseconds(size) as updated from obj where ns = 'ns-src0') o on o.key = l.entry and not l.is_prefix)"""
+
+
+_XML_HEAD = f"'<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<ListBucketResult xmlns=\"{documents.XMLNS}\"><Name>ns-src0</Name>"
+_XML_ITEM = """'<Contents><Key>' || entry || '</Key><LastModified>' || strftime(updated, '%Y-%m-%dT%H:%M:%S.%gZ') || '</LastModified><ETag>"' || hash || '"</ETag><Size>' || size || '</Size><StorageClass>STANDARD</StorageClass></Contents>'"""
+_XML_GROUP, _XML_TAIL = "'<CommonPrefixes><Prefix>' || entry || '</Prefix></CommonPrefixes>'", "'</ListBucketResult>'"
+
+
+@query("obj", "select doc as xml from (" + _answer_sql("en/", "/", "", 3, _XML_HEAD + "<Prefix>en/</Prefix><Delimiter>/</Delimiter><MaxKeys>3</MaxKeys>'", "'<Marker/>' || coalesce('<NextMarker>' || m || '</NextMarker>', '')", _XML_ITEM, _XML_GROUP, _XML_TAIL) + ")")
+def list_answer_v1(spark, sf_dir):
+    return listing.answer_xml(_dated(spark, sf_dir), "ns-src0", "en/", "/", 3)
+
+
+@query("obj", "select doc as xml from (" + _answer_sql("", "", "en/1", 7, _XML_HEAD + "<Prefix/><MaxKeys>7</MaxKeys>'", "'<ContinuationToken>ZW4vMQ==</ContinuationToken>' || coalesce('<NextContinuationToken>' || base64(encode(m)) || '</NextContinuationToken>', '')", _XML_ITEM, _XML_GROUP, _XML_TAIL) + ")")
+def list_answer_v2(spark, sf_dir):
+    return listing.answer_xml(_dated(spark, sf_dir), "ns-src0", max_keys=7, token="ZW4vMQ==", v2=True)
+
+
+_JSON_ITEM = """',{"key":"' || entry || '","size":' || size || ',"etag":"' || hash || '","content_type":"text/plain","last_modified":"' || regexp_replace(strftime(updated, '%Y-%m-%dT%H:%M:%S.%g'), '\\.000$', '') || 'Z"}'"""
+
+
+@query("obj", "select '{\"objects\":[' || substr(own, 2) || '],\"common_prefixes\":[' || substr(groups, 2) || '],\"next_token\":' || coalesce('\"' || base64(encode(m)) || '\"', 'null') || '}' as json from (select own, groups, m from ("
+       + _answer_sql("", "", "", 500, "''", "''", _JSON_ITEM, "',\"' || entry || '\"'", "''").replace("as doc from", "as doc, own, groups, m from", 1) + "))")
+def list_answer_json(spark, sf_dir):
+    return listing.answer_json(_dated(spark, sf_dir))
+
+
+_ERRORS = [("NoSuchKey", "no such key: a<b>&'c'", "no such key: a&lt;b&gt;&amp;&apos;c&apos;"), ("InvalidRange", 'range "x"', "range &quot;x&quot;"), ("InternalError", "", "")]
+
+
+@query("", f"""select code, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Error><Code>' || code || '</Code><Message>' || said || '</Message></Error>' as xml from {_values('code, message, said', _ERRORS)}""")
+def error_answers(spark, sf_dir):
+    return _inline(spark, "code, message, said", [(c, m, w) for c, m, w in _ERRORS]).select("code", documents.error(F.col("code"), F.col("message")).alias("xml"))
+
+
+_SENT = [("<Delete><Object><Key>a b</Key></Object><Object><Key>c&amp;d</Key></Object><Quiet>true</Quiet></Delete>", "a b|c&d", True), ("<Delete><Object><Key>one</Key></Object></Delete>", "one", False),
+         ("<Delete></Delete>", "", False), ("<Delete><Object><Key>cut", None, None), ("nothing", None, None)]
+
+
+@query("", f"select body, keys, quiet from {_values('body, keys, quiet', _SENT)}")
+def delete_bodies(spark, sf_dir):
+    said = _inline(spark, "body", [(x[0],) for x in _SENT]).select("body", documents.delete_body(F.col("body")).alias("d"))
+    return said.select("body", F.array_join("d.keys", "|").alias("keys"), "d.quiet")
+
+
+def _sent_manifests(spark, sf_dir):
+    """(upload_id, xml, json): the completing request of every upload."""
+    m = _manifest(spark, sf_dir)
+    one = documents.group("Part", documents.element("PartNumber", F.col("part_number")), documents.element("ETag", F.col("etag")))
+    lines = m.select("upload_id", F.struct("pos", one.alias("xml"), F.struct("part_number", "etag").alias("part")).alias("line")).groupBy("upload_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    xml = documents.group("CompleteMultipartUpload", F.array_join(F.transform("lines", lambda x: x["xml"]), ""))
+    return lines.select("upload_id", xml.alias("xml"), F.to_json(F.struct(F.transform("lines", lambda x: x["part"]).alias("parts"))).alias("json"))
+
+
+_IN_ORDER = "select upload_id, cast(row_number() over (partition by upload_id order by pos) as int) as place, part_number, etag from man"
+
+
+@query("man", _IN_ORDER)
+def complete_bodies_xml(spark, sf_dir):
+    parts = _sent_manifests(spark, sf_dir).select("upload_id", F.posexplode(documents.complete_body(F.col("xml"))).alias("place", "p"))
+    return parts.select("upload_id", (F.col("place") + 1).alias("place"), "p.part_number", "p.etag")
+
+
+@query("man", _IN_ORDER)
+def complete_bodies_json(spark, sf_dir):
+    parts = _sent_manifests(spark, sf_dir).select("upload_id", F.posexplode(documents.complete_body(F.col("json"), "json")).alias("place", "p"))
+    return parts.select("upload_id", (F.col("place") + 1).alias("place"), "p.part_number", "p.etag")

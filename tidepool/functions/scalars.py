@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from string import ascii_lowercase, ascii_uppercase
 
@@ -104,6 +105,11 @@ def iso_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def rfc3339(ts: Column) -> Column:
+    """With as many groups of three digits of a second as it takes, none for a whole one."""
+    return F.concat(F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$|000$", ""), F.lit("Z"))
+
+
 def http_date(ts: Column) -> Column:
     return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
 
@@ -123,6 +129,11 @@ def from_marker(s: Column) -> Column:
     return F.try_to_binary(s, F.lit("base64")).cast("string")
 
 
+def decoded_marker(token: str) -> str:
+    """The marker of a request's token. One that is no base64 of UTF-8 is an error."""
+    return base64.b64decode(token, validate=True).decode()
+
+
 def collapse_spaces(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 

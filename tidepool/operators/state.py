@@ -58,10 +58,10 @@ def put_outcomes(ops: DataFrame) -> DataFrame:
     return ops.where("op = 'put'").join(first, "hash").select("seq", "ns", "key", (F.col("seq") == F.col("first")).alias("is_new"))
 
 
-def copies(requests: DataFrame, objects: DataFrame) -> DataFrame:
-    """requests(src, dst) over objects(key, hash, size): the same hash under a new key, or NoSuchKey. No bytes move."""
-    found = requests.join(objects.select(F.col("key").alias("src"), "hash", "size"), "src", "left")
-    return found.select("src", "dst", "hash", "size", F.when(F.col("hash").isNull(), "NoSuchKey").otherwise("copied").alias("status"))
+def copies(requests: DataFrame, objects: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """requests(*by, src, dst) over objects(*by, key, hash, size): the same hash under a new key, or NoSuchKey. No bytes move."""
+    found = requests.join(objects.select(*by, F.col("key").alias("src"), "hash", "size"), [*by, "src"], "left")
+    return found.select(*by, "src", "dst", "hash", "size", F.when(F.col("hash").isNull(), "NoSuchKey").otherwise("copied").alias("status"))
 
 
 def links(requests: DataFrame, blobs: DataFrame, visible: DataFrame) -> DataFrame:
@@ -97,10 +97,10 @@ def copies_as_of(requests: DataFrame, ops: DataFrame, kept: DataFrame) -> DataFr
     return found.select("seq", "ns", "src", "dst", *fields, F.when(ok, "copied").otherwise("NoSuchKey").alias("status"))
 
 
-def batch_delete(requests: DataFrame, objects: DataFrame, quiet: bool = False) -> DataFrame:
-    """requests(key): missing keys count as deleted; existed tells them apart. Quiet hides successes."""
-    known = objects.select("key").distinct().withColumn("there", F.lit(True))
-    out = requests.join(known, "key", "left").select("key", F.lit("deleted").alias("status"), F.coalesce("there", F.lit(False)).alias("existed"))
+def batch_delete(requests: DataFrame, objects: DataFrame, quiet: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """requests(*by, key) over objects(*by, key): missing keys count as deleted; existed tells them apart. Quiet hides successes."""
+    known = objects.select(*by, "key").distinct().withColumn("there", F.lit(True))
+    out = requests.join(known, [*by, "key"], "left").select(*by, "key", F.lit("deleted").alias("status"), F.coalesce("there", F.lit(False)).alias("existed"))
     return out.where(F.lit(False)) if quiet else out
 
 

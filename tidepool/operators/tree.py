@@ -35,13 +35,19 @@ def visible(nodes: DataFrame, collapsed: DataFrame) -> DataFrame:
     return nodes.join(hidden.distinct(), "id", "left_anti")
 
 
-def positions(nodes: DataFrame, prefix: str) -> DataFrame:
-    """Rows under one folder with their place in reading order: places are counted below each child, and the children's first places added."""
-    shown = nodes.where(F.col("id").startswith(prefix)).withColumn("child", F.concat(F.lit(prefix), F.regexp_extract(F.substr("id", F.lit(len(prefix) + 1)), "^[^/]*/?", 0)))
-    sizes = shown.groupBy("child").agg(F.count("*").alias("n"))
-    before = Window.orderBy("child").rowsBetween(Window.unboundedPreceding, -1)  # a number for each child
-    first = sizes.select("child", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    placed = shown.withColumn("pos", F.row_number().over(Window.partitionBy("child").orderBy("id")) - 1).join(first, "child")
+def positions(nodes: DataFrame, prefix: str = "", buckets: int = 256) -> DataFrame:
+    """Rows under one folder (all, without a prefix) with their place in reading order.
+
+    Ids picked by their hash, `buckets` at most, part the rows into ranges of about one size, however many lie under one
+    folder; places are counted within a range, and the rows of the ranges before are added.
+    """
+    shown = nodes.where(F.col("id").startswith(prefix)) if prefix else nodes
+    cuts = shown.select("id").orderBy(F.xxhash64("id"), "id").limit(buckets - 1).agg(F.sort_array(F.collect_list("id")).alias("cuts"))
+    ranged = shown.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("id")))).drop("cuts")  # one row
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a number for each range
+    first = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    placed = ranged.withColumn("pos", F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1).join(F.broadcast(first), "range")
     return placed.select(*nodes.columns, (F.col("pos") + F.col("first")).alias("pos"))
 
 
