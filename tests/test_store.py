@@ -334,3 +334,70 @@ def test_places_of_a_hot_folder_and_of_none(spark):
         placed = sorted((r.pos, r.id) for r in tree.positions(nodes, buckets=buckets).collect())
         assert placed == list(enumerate(sorted(r.id for r in nodes.collect())))
     assert tree.positions(nodes.limit(0)).count() == 0
+
+
+def test_store_changes_of_objects(spark, sf):
+    import xml.etree.ElementTree as ET
+
+    store = Store(spark, sf)
+    old = store.get(*store.objects.select("ns", "key").first()).first()
+    new = store.put("nation_3", "k", b"bytes of no object").first()
+    assert (new.size, new.is_new) == (18, True) and not store.put("nation_3", "k", bytes(old.content)).first().is_new
+    assert _code(lambda: store.put("nowhere", "k", b"")) == "NoSuchBucket"
+    spaces = {r.id: r for r in tables.namespaces(spark, sf).collect()}
+    blob = next(o for o in tables.nation_objects(spark, sf).collect() if spaces[o.namespace_id].tenant_id is not None)
+    own = next(r.name for r in spaces.values() if r.tenant_id == spaces[blob.namespace_id].tenant_id)
+    assert tuple(store.link(own, "k", blob.hash).first()) == (True, "k", blob.hash, blob.size)
+    holders = {spaces[r.namespace_id].tenant_id for r in tables.nation_objects(spark, sf).where(F.col("hash") == blob.hash).collect()}
+    other = next(r.name for r in spaces.values() if r.tenant_id not in {*holders, None})
+    assert tuple(store.link(other, "k", blob.hash).first()) == tuple(store.link(own, "k", "0" * 64).first()) == (False, None, None, None)
+
+    upload = tables.uploads(spark, sf).orderBy("id").first()
+    parts = tables.parts(spark, sf).where(F.col("upload_id") == upload.id).orderBy("part_number").collect()
+    body = "".join(f'<Part><PartNumber>{p.part_number}</PartNumber><ETag>"{p.etag}"</ETag></Part>' for p in parts)
+    done = store.complete(upload.ns, upload.key, upload.id, f"<CompleteMultipartUpload>{body}</CompleteMultipartUpload>").first()
+    assert done["size"] == sum(p["size"] for p in parts) and done.dropped == len(parts)
+    assert ET.fromstring(done.xml.encode()).findtext("{http://s3.amazonaws.com/doc/2006-03-01/}ETag") == f'"{done.etag}"'
+    assert store.complete(upload.ns, upload.key, upload.id, '{"parts":[{"part_number":1}]}', "json").first()["size"] == parts[0]["size"]
+    for code, said, form in (
+        ("InvalidPart", "<CompleteMultipartUpload/>", "xml"), ("MalformedXML", "<Part", "xml"), ("InvalidArgument", "{}", "json"), ("InvalidPart", '{"parts":[{"part_number":99}]}', "json"),
+        ("InvalidPart", '{"parts":[{"part_number":1,"etag":"x"}]}', "json"), ("InvalidPart", '{"parts":[{"part_number":1},{"part_number":1}]}', "json"),
+    ):
+        assert _code(lambda: store.complete(upload.ns, upload.key, upload.id, said, form)) == code
+    assert _code(lambda: store.complete(upload.ns, "other", upload.id, "{}", "json")) == _code(lambda: store.abort(upload.ns, "other", upload.id)) == "NoSuchUpload"
+    assert store.abort(upload.ns, upload.key, upload.id).count() == tables.uploads(spark, sf).count() - 1
+
+
+def test_store_changes_of_teams(spark, sf):
+    store = Store(spark, sf)
+    # customers are few here, owners rarer: the members of two tenants are stated
+    teams = [(0, "boss@x.io", "owner"), (0, "hand@x.io", "member"), (1, "lone@x.io", "owner")]
+    held = spark.createDataFrame(teams, "tenant_id long, email string, role string")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tables, "members", lambda *_: held)
+        first, second = (tables.tenants(spark, sf).where(F.col("id") == i).first()["name"] for i in (0, 1))
+        as_set = lambda df: {tuple(r) for r in df.select("tenant_id", "email", "role").collect()}
+        assert as_set(store.add_member(first, "boss@x.io", " New@X.io ")) == {*teams, (0, "new@x.io", "member")}
+        assert as_set(store.add_member(first, "boss@x.io", "hand@x.io", "owner")) == {teams[0], (0, "hand@x.io", "owner"), teams[2]}
+        assert as_set(store.remove_member(first, "boss@x.io", "HAND@x.io")) == {teams[0], teams[2]}
+        assert as_set(store.remove_member(first, "boss@x.io", "nobody@x.io")) == set(teams)
+        tenants, members = store.create_tenant("new-team", "a@x.io")
+        assert tenants.where("name = 'new-team'").count() == 1 and members.where("email = 'a@x.io' and role = 'owner'").count() == 1
+        spaces = store.create_namespace("new-space", first, "hand@x.io").where("name = 'new-space'").collect()
+        assert [(r.tenant_id) for r in spaces] == [0] and store.create_namespace("new-space").where("name = 'new-space'").first()["tenant_id"] is None
+        taken, owned = store.namespaces().first()["name"], tables.namespaces(spark, sf).where("tenant_id = 1").first()["name"]
+        for code, call in (
+            ("AccessDenied", lambda: store.add_member(first, "hand@x.io", "a@x.io")), ("NoSuchTenant", lambda: store.add_member(second, "boss@x.io", "a@x.io")),
+            ("InvalidArgument", lambda: store.add_member(first, "boss@x.io", "no address")), ("InvalidArgument", lambda: store.add_member(first, "boss@x.io", "a@x.io", "king")),
+            ("InvalidArgument", lambda: store.remove_member(second, "lone@x.io", "lone@x.io")), ("InvalidTenantName", lambda: store.create_tenant("No", "a@x.io")),
+            ("TenantNotEmpty", lambda: store.delete_tenant(second, "lone@x.io")), ("AccessDenied", lambda: store.delete_tenant(first, "hand@x.io")),
+            ("InvalidBucketName", lambda: store.create_namespace("No")), ("InvalidArgument", lambda: store.create_namespace("new-space", caller="boss@x.io")),
+            ("BucketNotEmpty", lambda: store.delete_namespace(owned, "lone@x.io")), ("NoSuchBucket", lambda: store.delete_namespace(owned, "boss@x.io")), ("NoSuchBucket", lambda: store.delete_namespace("nowhere")),
+        ):
+            assert _code(call) == code
+        empty = tables.nation_objects(spark, sf).limit(0)
+        patch.setattr(tables, "nation_objects", lambda *_: empty)
+        assert store.delete_namespace(taken).count() == store.namespaces().count() - 1
+        patch.setattr(tables, "namespaces", lambda *_: spark.createDataFrame([], "id long, name string, tenant_id long"))
+        tenants, members = store.delete_tenant(second, "lone@x.io")
+        assert tenants.where(F.col("name") == second).count() == 0 and as_set(members) == set(teams[:2])
