@@ -326,6 +326,53 @@ def test_like_vectors_share_blocks_that_are_pruned(spark):
     assert scored["centre"] < 0.5 * 40 * 80 and scored["centre"] < scored["id"]
 
 
+def test_top_k_broadcasts_no_queries(spark):
+    """Queries repeated for each shard once were one table to broadcast, estimated by the size without repeats: too much for the driver."""
+    df = spark.range(2000).selectExpr("id as vec_id", "array(cast(id % 7 as float), cast(id % 11 as float)) as embedding")
+    plan = topk.top_k(df, shard_rows=50, chunk=3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan and "Generate" not in plan
+
+
+def test_top_k_over_many_tasks_with_ties_and_lengths(spark):
+    """Ties and copies over many shards, chunks and files; two lengths of vector; impacts of 2, 4 and 8 bytes."""
+    rng = np.random.default_rng(3)
+    v = [rng.integers(-2, 3, 3 + i % 2 * 2).astype(np.float64) * (1e5 if i % 90 == 0 else 1) for i in range(900)]
+    v[450] = v[450] * 1e2
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("id") % 3 == 0, k=4, block_rows=4, shard_rows=30, chunk=5).collect()
+    q = [[int(y) * 256 for y in x] for x in v]
+    want = []
+    for i in range(0, 900, 3):
+        scores = sorted((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in range(900) if j != i and len(q[j]) == len(q[i]))[:4]
+        want += [(i, n + 1, j, -x) for n, (x, j) in enumerate(scores)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
+def test_products_are_exact_in_every_type():
+    rng = np.random.default_rng(4)
+    kinds = set()
+    for bits in (4, 8, 10, 11, 12, 20, 24, 28):
+        a, b = (rng.integers(-(2**bits), 2**bits + 1, (20, 64)) for _ in range(2))
+        a[0], b[0], b[1] = 2**bits, 2**bits, -(2**bits)
+        kinds.add(topk._kind(a, b))
+        want = [[sum(int(x) * int(y) for x, y in zip(i, j)) for j in b] for i in a]
+        assert topk._product(a, b).tolist() == want, bits
+    assert kinds == {np.float32, np.float64, np.int64}
+
+
+def test_centres_sample_stays_bounded(spark, monkeypatch):
+    """One id with all the rows, and long vectors: the driver takes no more of them."""
+    seen, nearest = [], topk.nearest
+    monkeypatch.setattr(topk, "nearest", lambda x, at: seen.append(x.shape) or nearest(x, at))
+    for i in range(4):
+        topk.centres(topk.impacts(spark.range(5000).selectExpr(f"{i}L as vec_id", "array(cast(id as double), 1d) as embedding")), 5000, sample=500)
+    assert seen and max(n for n, _ in seen) < 700
+    seen.clear()
+    monkeypatch.setattr(topk, "_SAMPLE_CELLS", 20_000)
+    topk.centres(topk.impacts(spark.range(1000).selectExpr("id as vec_id", "transform(sequence(1, 200), x -> cast(id + x as double)) as embedding")), 1000)
+    assert seen and max(n * dim for n, dim in seen) < 40_000
+
+
 # -- 5
 
 
