@@ -37,7 +37,7 @@ def impacts(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     odd = F.exists(x, lambda y: y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & x.isNotNull()).where(~odd)
     v = F.transform(x, lambda y: F.floor(y.cast("double") * 256).cast("long"))
-    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).withColumn("dim", F.size("v"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(x).alias("dim"))
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -51,6 +51,10 @@ def _wide(data: bytes, n: int, dim: int) -> np.ndarray:
     return np.frombuffer(data, kind).reshape(n, dim).astype(np.int64)
 
 
+def _matrix(v: pd.Series, dim: int) -> np.ndarray:
+    return np.concatenate(list(v)).astype(np.int64).reshape(len(v), dim)
+
+
 def _grouped(batches: Iterator[pd.DataFrame], rows: int, cells: int) -> Iterator[tuple[int, pd.DataFrame]]:
     """(dim, rows of that dim) in the order given, as many as `rows` and `cells` components allow, across Arrow batches."""
     held: dict[int, list[pd.DataFrame]] = {}
@@ -71,7 +75,7 @@ def _pack(block_rows: int, shard_rows: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last: dict[int, tuple] = {}
         for dim, own in _grouped(batches, shard_rows, _SHARD_CELLS):
-            ids, v = own["id"].to_numpy(np.int64), np.array(own["v"].tolist(), np.int64).reshape(len(own), dim)
+            ids, v = own["id"].to_numpy(np.int64), _matrix(own["v"], dim)
             new = np.ones(len(ids), bool)
             new[1:] = (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(axis=1)
             if dim in last and last[dim][0] == ids[0] and np.array_equal(last[dim][1], v[0]):
@@ -92,7 +96,7 @@ def _chunks(chunk: int):
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
         for dim, x in _grouped(batches, chunk, _CHUNK_CELLS):
-            v = np.array(x["v"].tolist(), np.int64).reshape(len(x), dim)
+            v = _matrix(x["v"], dim)
             yield pd.DataFrame([(number, dim, x["id"].to_numpy(np.int64).tobytes(), x["number"].to_numpy(np.int64).tobytes(), _narrow(v).tobytes())], columns=["number", "qdim", "qids", "numbers", "q"])
             number += 1
 
@@ -133,7 +137,7 @@ def _celled(rows: DataFrame, at: dict[int, np.ndarray]) -> DataFrame:
         for dim in np.unique(dims):
             if dim in at:
                 own = np.flatnonzero(dims == dim)
-                out[own] = nearest(np.array(v.iloc[own].tolist(), np.float64), at[dim])
+                out[own] = nearest(_matrix(v.iloc[own], dim).astype(np.float64), at[dim])
         return pd.Series(out)
 
     return rows.withColumn("cell", mapped(cell, "int", F.col("v")))
@@ -172,13 +176,16 @@ def best_of_shard(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarra
     q, v = q.astype(kind), v.astype(kind)
     w, i, s = top if top is not None else (np.zeros(0, np.int64),) * 3
     # the kth score and id of each query, or, while it has fewer, what any row passes
-    kth, kid = np.full(len(q), np.iinfo(np.int64).min), np.full(len(q), np.iinfo(np.int64).max)
+    nothing = np.iinfo(np.int64).min
+    kth, kid = np.full(len(q), nothing), np.full(len(q), np.iinfo(np.int64).max)
     found, waiting, scored = [], 0, 0
 
     def ranked(most: int) -> None:
         """Ranks what was found, once it is more than `most`."""
         nonlocal w, i, s, found, waiting
-        if waiting > most:
+        if 0 < most and waiting <= most:
+            return
+        if found:
             w, i, s = (np.concatenate([x, *(f[c] for f in found)]) for c, x in enumerate((w, i, s)))
             by = np.lexsort((i, -s, w))
             w, i, s = w[by], i[by], s[by]
@@ -194,6 +201,10 @@ def best_of_shard(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarra
         own = slice(starts[block], starts[block + 1])
         all_ = q[who] if len(who) < len(q) else q
         x = all_ @ v[own].T
+        if x.shape[1] > k and (needed == nothing).any():
+            # a query's first block gives its k best and their ties alone
+            x[qids[who][:, None] == ids[own][None, :]] = nothing
+            needed = np.maximum(needed, np.partition(x, -k, axis=1)[:, -k].astype(np.int64))
         a, b = np.divmod(np.flatnonzero(x >= needed.astype(kind)[:, None]), x.shape[1])
         other = qids[who[a]] != ids[own][b]
         a, b = a[other], b[other]
